@@ -290,14 +290,17 @@ def covered(did: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, n:
         yield (int(did[a]), int(key[a])), lo[a:b][new], end[np.concatenate((new[1:] - 1, [b - a - 1]))]
 
 
-def repeated_windows(docs: DataFrame, spec: Spec, compare: Callable, finish: Callable, schema: str) -> DataFrame:
-    """``finish(text, starts, ends)`` per document row, with the merged spans of removed tokens; its values follow doc_id."""
+def repeated_windows(docs: DataFrame, spec: Spec, compare: Callable, finish: Callable, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``finish(text, starts, ends)`` per document row, with the merged spans of removed tokens.
+
+    Its values follow doc_id; the columns named in ``carry`` come last, as they are.
+    """
     spark = docs.sparkSession
     tune(spark)
     blocks = max(16, min(4096, 2 * partitions(spark)))
     buckets = max(16, min(4096, 2 * partitions(spark)))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), row_key().alias("k"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+    own = own.withColumns({"did": F.coalesce("doc_id", F.lit(NULL_ID)), "k": row_key()})
     own = own.withColumn("block", F.pmod("k", F.lit(blocks)).cast("int"))
     hot = hot_anchors(own, spec)
 
@@ -323,10 +326,11 @@ def repeated_windows(docs: DataFrame, spec: Spec, compare: Callable, finish: Cal
         return _table(decide(rows_of(table), spec, compare, blocks, buckets))
 
     out_schema = pa.schema([("doc_id", pa.int64()), *((n.split()[0], pa.int64() if n.split()[1] == "long" else pa.string()) for n in schema.split(", "))])
+    kept_types = "".join(f", `{c}` {own.schema[f'carry_{i}'].dataType.simpleString()}" for i, c in enumerate(carry))
 
     def finished(docs_table, spans):
         if not docs_table.num_rows:
-            return out_schema.empty_table()
+            return pa.table({})
         found: dict[tuple[int, int], tuple] = {}
         if spans.num_rows:
             r = unpack_all(spans.column("data").to_pylist())
@@ -336,7 +340,10 @@ def repeated_windows(docs: DataFrame, spec: Spec, compare: Callable, finish: Cal
         got: list = []
         for i, d in enumerate(zip(docs_table.column("did").to_pylist(), docs_table.column("k").to_pylist())):
             got.append((ids[i], *finish(text[i].as_py(), *found.get(d, (none, none)))))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*got), out_schema)], schema=out_schema)
+        out = pa.table([pa.array(c, f.type) for c, f in zip(zip(*got), out_schema)], schema=out_schema)
+        for i, c in enumerate(carry):
+            out = out.append_column(c, docs_table.column(f"carry_{i}"))
+        return out
 
     sent = own.select("did", "k", "text", "block").mapInArrow(send, ROW)
     first = materialize(sent.groupBy("bucket").applyInArrow(settled, ROW), "settled")
@@ -344,4 +351,4 @@ def repeated_windows(docs: DataFrame, spec: Spec, compare: Callable, finish: Cal
     slices = dealt.cogroup(first.filter("kind = 2").groupBy("block")).applyInArrow(handed, ROW)
     second = slices.groupBy("bucket").applyInArrow(decided, ROW)
     gone = first.filter("kind = 1").union(second)
-    return dealt.cogroup(gone.groupBy("block")).applyInArrow(finished, f"doc_id long, {schema}")
+    return dealt.cogroup(gone.groupBy("block")).applyInArrow(finished, f"doc_id long, {schema}{kept_types}")

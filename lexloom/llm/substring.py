@@ -124,16 +124,19 @@ def substring_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return _repeats(docs, window, finish, "n_words long, n_removed long, kept_sha256 string")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, text: the text itself where nothing goes, else the kept words joined by one space (null stays null)."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, text and the columns of ``carry``, per document row.
+
+    The text stays itself where nothing goes, else it is the kept words joined by one space; null stays null.
+    """
 
     def finish(text, starts, ends):
         n, gone, kept = _finish(text, starts, ends)
         return n, gone, b" ".join(kept).decode("utf-8", "surrogatepass") if gone else text
 
-    return _repeats(docs, window, finish, "n_words long, n_removed long, text string")
+    return _repeats(docs, window, finish, "n_words long, n_removed long, text string", carry)
 
 
-def _repeats(docs, window, finish, schema):
+def _repeats(docs, window, finish, schema, carry=()):
     first = max(1, -(-window // 4))
-    return repeated_windows(docs, Spec(window, first, word_tokens, False), compare_levels(first), finish, schema)
+    return repeated_windows(docs, Spec(window, first, word_tokens, False), compare_levels(first), finish, schema, carry)
