@@ -31,25 +31,52 @@ OVERLAP = 13
 SIMILARITY = 0.8
 #: Seeds of test items that may be broadcast (about 40 bytes each).
 BROADCAST_SEEDS = 1_000_000
+#: Words of the test items that may be looked up in every task to skip places early; with more, no place is skipped.
+VOCABULARY = 20_000
 
 
 def token_array(text: Column) -> Column:
     """Lower-cased runs of letters and digits; an empty array without any."""
-    flat = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.length(flat) > 0, F.split(flat, " ", -1)).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " ", -1), "")
 
 
-def seeds(tokens: Column, masks=MASKS) -> Column:
-    """array<struct<pos, h>>: one hash per mask and place; the mask's number goes into the hash."""
+def seeds(tokens: Column, masks=MASKS, vocabulary: list[str] | None = None) -> Column:
+    """array<struct<pos, h>>: one hash per mask and place; the mask's number goes into the hash.
+
+    With a vocabulary, places are skipped whose tokens under the offsets common to all masks are not all in it.
+    """
+    none = F.array().cast("array<int>")
+    shared = sorted(set.intersection(*map(set, masks)))
+
+    def places(length):
+        last = F.size(tokens) - F.lit(length)
+        return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(none)
+
     def hashed(m, mask):
         return lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *[F.get(tokens, i + o) for o in mask]).alias("h"))
 
-    parts = []
-    for m, mask in enumerate(masks):
-        last = F.size(tokens) - F.lit(mask[-1] + 1)
-        at = hashed(m, mask)
-        parts.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>")))
-    return F.concat(*parts)
+    def known(found):
+        def test(i):
+            out = F.get(found, i + shared[0])
+            for o in shared[1:]:
+                out = out & F.get(found, i + o)
+            return out
+
+        return test
+
+    if vocabulary is None:
+        return F.concat(*[F.transform(places(mask[-1] + 1), hashed(m, mask)) for m, mask in enumerate(masks)])
+    found = F.transform(tokens, lambda w: w.isin(vocabulary))
+    # An array of one binds its element to a name, so that it is worked out once.
+    starts = F.flatten(F.transform(F.array(found), lambda f: F.filter(places(min(mask[-1] for mask in masks) + 1), known(f))))
+
+    def hashes(own):
+        return F.concat(*[F.transform(F.filter(own, fits(mask[-1])), hashed(m, mask)) for m, mask in enumerate(masks)])
+
+    def fits(reach):
+        return lambda i: i + reach < F.size(tokens)
+
+    return F.flatten(F.transform(F.array(starts), hashes))
 
 
 def _stretch(tokens: Column, item: Column, diagonal: Column, overlap: int) -> Column:
@@ -69,7 +96,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int =
         slim = F.broadcast(slim)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), "text")
     tokens = own.select("doc_id", "k", token_array(F.col("text")).alias("tokens"))
-    places = tokens.select("doc_id", "k", F.explode(seeds(F.col("tokens"), masks)).alias("s")).select("doc_id", "k", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"))
+    words = [r[0] for r in items.select(F.explode("item")).distinct().limit(VOCABULARY + 1).collect()]
+    vocabulary = sorted(words) if len(words) <= VOCABULARY else None
+    places = tokens.select("doc_id", "k", F.explode(seeds(F.col("tokens"), masks, vocabulary)).alias("s")).select("doc_id", "k", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"))
     hits = places.join(slim, "h").groupBy("doc_id", "k", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
     words = item_seeds.select(F.col("item_id").alias("w_id"), F.xxhash64("item").alias("w_key"), "item").distinct()
     hits = hits.join(words, F.col("item_key").eqNullSafe(F.col("w_key")) & F.col("item_id").eqNullSafe(F.col("w_id"))).select("doc_id", "k", "item_id", "diagonal", "item")
@@ -77,7 +106,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int =
     joined = own.join(per_doc, (F.col("k") == F.col("h_key")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
     joined = joined.select("doc_id", "k", "hits", F.when(F.col("hits").isNotNull(), token_array(F.col("text"))).alias("tokens"))
     width = lambda x: F.least(F.lit(overlap), F.size(x["item"]))
-    scored = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), (_stretch(F.col("tokens"), x["item"], x["diagonal"], overlap) / width(x)).alias("share")))
+    share = lambda t: lambda x: F.struct(x["item_id"].alias("item_id"), (_stretch(t, x["item"], x["diagonal"], overlap) / width(x)).alias("share"))
+    # The tokens are bound to a name before the hits are gone through; else they would be worked out for each word.
+    scored = F.flatten(F.transform(F.array("tokens"), lambda t: F.transform(F.col("hits"), share(t))))
     joined = joined.withColumn("scored", scored)
     verified = F.filter("scored", lambda x: x["share"] >= similarity)
     items_found = F.array_sort(F.array_distinct(F.transform(verified, lambda x: x["item_id"])))
