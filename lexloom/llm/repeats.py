@@ -152,6 +152,7 @@ class _Sender:
         did, key, block, g, lo, hi = (np.concatenate(x) for x in zip(*self.rows))
         s = np.array(self.slices, dtype=np.uint64)
         order = np.lexsort((lo, key, did, s, g))
+        order = order[_runs(*(x[order] for x in (g, s, did, key, lo)))]  # rows that repeat a document count once
         did, key, block, g, lo, hi, s = (x[order] for x in (did, key, block, g, lo, hi, s))
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])))
         first = np.flatnonzero(new)
@@ -207,6 +208,9 @@ def settle(rows: list[tuple], spec: Spec, blocks: int, buckets: int) -> list[tup
     r["hi"] = r["lo"] + r["len"]
     order = np.lexsort((r["lo"], r["key"], r["did"], r["s"], r["g"]))
     r = {n: a[order] for n, a in r.items()}
+    once = _runs(r["g"], r["s"], r["did"], r["key"], r["lo"])  # rows that repeat a document count once
+    many = np.maximum.reduceat(r["many"], once)
+    r = {n: a[once] for n, a in r.items()} | {"many": many}
     by_slice = _runs(r["g"], r["s"])
     count = np.diff(np.concatenate((by_slice, [len(r["g"])])))
     several = (count > 1) | (np.maximum.reduceat(r["many"], by_slice) > 0)
