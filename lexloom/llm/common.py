@@ -9,9 +9,11 @@ input, whatever they are called, never clash with theirs.
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import zstandard
@@ -26,8 +28,11 @@ BATCH_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small: one row may hold a very long text."""
+    """Keep Arrow batches small (one row may hold a very long text) and let workers on this machine import the package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
 def shared_dir(spark: SparkSession) -> str:

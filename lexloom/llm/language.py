@@ -104,6 +104,7 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
 
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 3) -> dict | None:
     """``train``: doc_id, text, lang."""
+    tune(train.sparkSession)
     train = train.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
