@@ -155,14 +155,14 @@ def near_relation(spark, sf_dir):
 
 @register(
     """WITH w AS (SELECT c_nationkey AS id, split_part(c_mktsegment, ' ', 1) AS key, 100 AS w, c_custkey AS ord, 'member' AS how FROM customer UNION ALL SELECT n_nationkey, n_name, 60, 0, 'hypernym' FROM nation
-UNION ALL SELECT s_nationkey, s_name, 40, s_suppkey, 'hyponym' FROM supplier UNION ALL SELECT c_nationkey, c_mktsegment, 100, -c_custkey, 'own' FROM customer)
+UNION ALL SELECT s_nationkey, s_name, 40, s_suppkey, 'hyponym' FROM supplier UNION ALL SELECT c_nationkey, c_mktsegment, 100, -c_custkey - 1, 'own' FROM customer)
 SELECT id, key, arg_max(w, (w, -ord)) AS w, arg_max(how, (w, -ord)) AS how FROM w GROUP BY id, key"""
 )
 def neighbourhood_max_merge(spark, sf_dir):
     c, n, s = (table(spark, sf_dir, t) for t in ("customer", "nation", "supplier"))
     rows = c.select(F.col("c_nationkey").alias("id"), F.substring_index("c_mktsegment", " ", 1).alias("key"), F.lit(100).alias("w"), F.col("c_custkey").alias("ord"), F.lit("member").alias("how"))
     rows = rows.union(n.select("n_nationkey", "n_name", F.lit(60), F.lit(0).cast("long"), F.lit("hypernym")))
-    rows = rows.union(s.select("s_nationkey", "s_name", F.lit(40), "s_suppkey", F.lit("hyponym"))).union(c.select("c_nationkey", "c_mktsegment", F.lit(100), -F.col("c_custkey"), F.lit("own")))
+    rows = rows.union(s.select("s_nationkey", "s_name", F.lit(40), "s_suppkey", F.lit("hyponym"))).union(c.select("c_nationkey", "c_mktsegment", F.lit(100), -F.col("c_custkey") - 1, F.lit("own")))
     return features.max_merge(rows, ["id", "key"])
 
 
