@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.rules import MARGIN, MIN_GROUP, MIN_SCORE, UPSET
+from lexloom.functions.rules import CONTEXT_CAP, CONTEXT_FACTOR, HOOD, MARGIN, MIN_GROUP, MIN_SCORE, PHRASE_FACTOR, UPSET
 
 
 def decide(scores: DataFrame) -> DataFrame:
@@ -23,3 +23,55 @@ def decide(scores: DataFrame) -> DataFrame:
     out = ranked.groupBy("group").agg(F.first("top").alias("top"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"), F.max(F.when((F.col("place") > 1) & loses, 1).otherwise(0)).alias("beaten"))
     verdict = F.when((F.col("top.score") < MIN_SCORE) | (F.col("top.part") < MIN_GROUP), "below_threshold").when(F.col("beaten") == 1, "tie").otherwise("aligned")
     return out.select("group", "top.target", "top.score", "second", verdict.alias("verdict"))
+
+
+def neighbourhood(members: DataFrame, definitions: DataFrame, edges: DataFrame, stop: DataFrame) -> DataFrame:
+    """(synset, key, w): words around a meaning, each with its highest weight.
+
+    ``members`` and ``definitions`` (synset, key), ``edges`` (src, rel, dst).  Parts of members of several words count half.
+    """
+    weight = F.lit(None).cast("double")
+    for rel in ("similar", "also", "hypernym", "hyponym"):
+        weight = F.when(F.col("rel") == rel, HOOD[rel]).otherwise(weight)
+    near = edges.select(F.col("src").alias("near"), weight.alias("w"), F.col("dst").alias("synset")).filter("w is not null")
+    near = near.join(members, "synset").select(F.col("near").alias("synset"), "key", "w")
+    full = members.select("synset", "key", F.lit(HOOD["member"]).alias("w")).union(near)
+    parts = full.filter(F.col("key").contains(" ")).select("synset", F.explode(F.split("key", " ")).alias("key"), (F.col("w") * PHRASE_FACTOR).alias("w"))
+    parts = parts.join(stop.select("key"), "key", "left_anti").select("synset", "key", "w")
+    ways = full.union(parts).union(definitions.select("synset", "key", F.lit(HOOD["definition"]).alias("w")))
+    return ways.groupBy("synset", "key").agg(F.max("w").alias("w"))
+
+
+def group_scores(groups: DataFrame, candidates: DataFrame, hood: DataFrame) -> DataFrame:
+    """(group, target, score, part, ord) for ``decide``.
+
+    ``groups`` (group, role, key) with role group, context or name; ``candidates`` (group, target, ord).  A phrase that is
+    not in the neighbourhood counts by its best part, half.  The group's words add up; context and name are capped.
+    """
+    asked = groups.join(candidates, "group")
+    around = hood.select(F.col("synset").alias("target"), F.col("key").alias("part_key"), "w")
+    whole = asked.join(around, (asked.target == around.target) & (F.col("key") == F.col("part_key")), "left").select("group", asked.target, "ord", "role", "key", F.col("w").alias("whole"))
+    split = asked.filter(F.col("key").contains(" ")).select("group", "target", "role", "key", F.explode(F.split("key", " ")).alias("part_key"))
+    split = split.join(around, ["target", "part_key"]).groupBy("group", "target", "role", "key").agg((F.max("w") * PHRASE_FACTOR).alias("parts"))
+    words = whole.join(split, ["group", "target", "role", "key"], "left").withColumn("v", F.coalesce("whole", "parts", F.lit(0.0)))
+    sums = words.groupBy("group", "target", "ord").agg(
+        F.sum(F.when(F.col("role") == "group", F.col("v")).otherwise(0.0)).alias("part"),
+        F.sum(F.when(F.col("role") == "context", F.col("v")).otherwise(0.0)).alias("context"),
+        F.max(F.when(F.col("role") == "name", F.col("v")).otherwise(0.0)).alias("name"),
+    )
+    extra = F.least(F.lit(CONTEXT_CAP), F.lit(CONTEXT_FACTOR) * (F.col("context") + F.col("name")))
+    return sums.select("group", "target", F.round(F.col("part") + extra, 4).alias("score"), "part", "ord")
+
+
+def keeps(words: DataFrame) -> DataFrame:
+    """Adds ``kept`` to aligned words (group, word, relation, pos, label): close relations stay, lists lose unknown words.
+
+    A group is a list if its label says so, or if at least three words, and half of the known ones, are loosely related.
+    """
+    by = Window.partitionBy("group")
+    close = F.col("relation").isin("member", "similar", "hypernym") | ((F.col("relation") == "hyponym") & (F.col("pos") != "n"))
+    known = F.col("relation") != "unknown"
+    loose = F.sum(F.when(known & ~close, 1).otherwise(0)).over(by)
+    all_known = F.sum(F.when(known, 1).otherwise(0)).over(by)
+    is_list = F.coalesce(F.lower("label").contains("list"), F.lit(False)) | ((loose >= 3) & (loose * 2 >= all_known))
+    return words.withColumn("kept", close | (~known & ~is_list))

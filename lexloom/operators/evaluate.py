@@ -24,3 +24,19 @@ def exclusive_quantile(values: DataFrame, by: list[str], column: str, q: int, pa
     ranked = ranked.withColumn("j", low).withColumn("delta", F.col("n") * q + q - low * parts)
     two = ranked.filter("r = j or r = j + 1").groupBy(*by).agg(F.max(F.when(F.col("r") == F.col("j"), F.col(column))).alias("a"), F.max(F.when(F.col("r") == F.col("j") + 1, F.col(column))).alias("b"), F.first("delta").alias("delta"))
     return two.select(*by, ((F.col("a") * (parts - F.col("delta")) + F.col("b") * F.col("delta")) / parts).alias("value"))
+
+
+def gold_rank(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, gold_place, top1, top3): the best place of a right meaning; (qid, place, synset) against (qid, synset), several may be right."""
+    items = gold.select("qid").distinct()
+    hit = predictions.join(gold, ["qid", "synset"]).groupBy("qid").agg(F.min("place").alias("gold_place"))
+    out = items.join(hit, "qid", "left")
+    return out.withColumns({"top1": F.coalesce(F.col("gold_place") == 1, F.lit(False)), "top3": F.coalesce(F.col("gold_place") <= 3, F.lit(False))})
+
+
+def first_sense(items: DataFrame, entry: DataFrame, with_pos: bool = True) -> DataFrame:
+    """Baseline predictions (qid, place, synset): the commonest sense of (qid, key, pos)."""
+    on = ["key", "pos"] if with_pos else ["key"]
+    ranked = items.select("qid", *on).join(entry, on)
+    by = Window.partitionBy("qid").orderBy("rank", "synset")
+    return ranked.select("qid", F.row_number().over(by).alias("place"), "synset").filter("place = 1")

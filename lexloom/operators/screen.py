@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.rules import SOURCE_WEIGHT
 
+# fixed values: synonyms, words of a phrase and meanings shown at a level (None: all)
+LEVELS = {"junior": (6, 2, 5), "explorer": (10, 4, None)}
+
 
 def rank_synonyms(rows: DataFrame, familiarity: DataFrame, keep: int, main: str = "oewn2025") -> DataFrame:
     """(synset, word, key, source, score) to (synset, key, word, sources, place).
@@ -37,3 +40,25 @@ def require(table: DataFrame | None, name: str) -> DataFrame:
     if table is None:
         raise ValueError(f"the table {name} is missing")
     return table
+
+
+def word_screens(picked: DataFrame, meanings: DataFrame, synonyms: DataFrame, antonyms: DataFrame, level: str = "junior") -> DataFrame:
+    """One nested record per query: the meanings in picked order with their synonyms and opposites.
+
+    ``picked`` (qid, place, synset, score, clues), ``meanings`` (synset, pos, definition, example), ``synonyms``
+    (synset, word, key, place), ``antonyms`` (synset, word).  Unknown levels are an error.
+    """
+    if level not in LEVELS:
+        raise ValueError(f"unknown level {level}")
+    most, width, shown = LEVELS[level]
+    fit = synonyms.filter((F.col("place") <= most) & (F.size(F.split("key", "[ -]")) <= width))
+    syn = fit.groupBy("synset").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("synonyms"))
+    ant = antonyms.groupBy("synset").agg(F.slice(F.sort_array(F.collect_set("word")), 1, 4).alias("antonyms"))
+    rows = picked.join(meanings, "synset").join(syn, "synset", "left").join(ant, "synset", "left")
+    none = F.array().cast("array<string>")
+    best, second = F.max(F.when(F.col("place") == 1, F.col("score"))), F.max(F.when(F.col("place") == 2, F.col("score")))
+    part = F.struct("place", "synset", "pos", "definition", "example", "score", "clues", F.coalesce("synonyms", none).alias("synonyms"), F.coalesce("antonyms", none).alias("antonyms"))
+    out = rows.groupBy("qid").agg(F.array_sort(F.collect_list(part)).alias("all"), (best - second).alias("margin"), F.count(F.lit(1)).alias("n"))
+    cut = F.slice("all", 1, shown) if shown else F.col("all")
+    more = F.greatest(F.col("n") - (shown or 0), F.lit(0)) if shown else F.lit(0).cast("long")
+    return out.select("qid", cut.alias("meanings"), "margin", more.alias("more_meanings"))

@@ -33,3 +33,14 @@ def suggestions(queries: DataFrame, vocabulary: DataFrame, keep: int = 5) -> Dat
     ways = alike.union(near).filter("key != query").groupBy("query", "key").agg(F.min(F.struct("kind", "d", "n")).alias("rank"))
     by = Window.partitionBy("query").orderBy("rank.kind", "rank.d", "rank.n", "key")
     return ways.select("query", "key", F.row_number().over(by).alias("place")).filter(F.col("place") <= keep)
+
+
+def results(queries: DataFrame, vocabulary: DataFrame, keep_completions: int = 8, keep_suggestions: int = 5) -> DataFrame:
+    """(query, key, kind, place): the exact key, or suggestions without one, then completions; every key once."""
+    q, v = queries.select("query").distinct(), vocabulary.select("key").distinct()
+    exact = q.join(v, F.col("query") == F.col("key")).select("query", "key", F.lit("exact").alias("kind"), F.lit(0).alias("part"), F.lit(1).alias("n"))
+    near = suggestions(q.join(exact.select("query"), "query", "left_anti"), v, keep_suggestions).select("query", "key", F.lit("suggestion").alias("kind"), F.lit(1).alias("part"), F.col("place").alias("n"))
+    more = completions(q, v, keep_completions).select("query", "key", F.lit("completion").alias("kind"), F.lit(2).alias("part"), F.col("place").alias("n"))
+    first = exact.union(near).union(more).groupBy("query", "key").agg(F.min(F.struct("part", "n", "kind")).alias("r"))
+    by = Window.partitionBy("query").orderBy("r.part", "r.n")
+    return first.select("query", "key", "r.kind", F.row_number().over(by).alias("place"))

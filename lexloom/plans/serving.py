@@ -29,7 +29,12 @@ SENTENCES = [
 
 def fixture(spark: SparkSession) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, queries) of the tiny dictionary."""
-    make = spark.createDataFrame
+    def make(rows, schema):
+        """Rows as literals of the plan, so that their size is known and joins broadcast them."""
+        names, kinds = zip(*(f.split() for f in schema.split(", ")))
+        columns = lambda r: F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip(names, kinds, r)])
+        return spark.range(1).select(F.inline(F.array(*map(columns, rows))))
+
     tables = {
         "stop": make([(w,) for w in STOP], "key string"),
         "tok": make(TOK, "form string, key string, ord int"),

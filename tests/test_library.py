@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as fn
-from lexloom.operators import align, evaluate, features, graph, lexicon, picker, screen, search
+from lexloom.operators import align, collocation, evaluate, features, graph, lexicon, picker, screen, search
 from lexloom.plans import serving
 from lexloom.sources import books, lmf
 from lexloom.streaming.lookup import lookup_stream
@@ -151,3 +151,63 @@ def test_lookup_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.word, r.key) for r in spark.sql("select * from looked").collect()} == {("Ducks", "duck"), ("pond", "pond")}
+
+
+def test_collocation(spark):
+    said = "please sit on the river bank now".split()
+    s = spark.createDataFrame([(1, j, w, w in ("on", "the")) for j, w in enumerate(said)], "qid int, j int, key string, is_stop boolean")
+    t = spark.createDataFrame([(1, 5, "rb"), (1, 5, "mb")], "qid int, ti int, synset string")
+    e = spark.createDataFrame([("rb", 1, i, w) for i, w in enumerate("we sat on the river bank".split())] + [("mb", 1, i, w) for i, w in enumerate("the bank".split())], "synset string, ex int, i int, key string")
+    assert [(r.synset, r.run, r.bonus) for r in collocation.collocations(s, t, e).collect()] == [("rb", 4, 6.0)]
+
+
+def test_expand(spark):
+    senses = spark.createDataFrame([("pond", "s1", 1), ("pond", "s2", 2)], "key string, synset string, rank int")
+    bags = spark.createDataFrame([("s1", "water", 1.0), ("s2", "fish", 0.6), ("s1", "pond", 1.0), ("s1", "thing", 1.0)], "synset string, link string, w double")
+    idf = spark.createDataFrame([("water", 6.0), ("fish", 6.0), ("pond", 7.0), ("thing", 9.0)], "link string, idf double")
+    skip = spark.createDataFrame([("thing",)], "link string")
+    got = {r.link: (round(r["mean"], 4), r.best) for r in features.expand(senses, bags, idf, skip).collect()}
+    total = 1 + 1 / 1.15
+    assert got == {"water": (round(1 / total, 4), 1.0), "fish": (round(0.6 / 1.15 / total, 4), 0.6)}
+    assert [(r.link, r.w) for r in features.links_of(features.expand(senses, bags, idf, skip)).orderBy("place").collect()] == [("water", 53), ("fish", 28)]
+
+
+def test_alignment(spark):
+    members = spark.createDataFrame([("a", "bank"), ("a", "river side"), ("b", "shore")], "synset string, key string")
+    definitions = spark.createDataFrame([("a", "land")], "synset string, key string")
+    edges = spark.createDataFrame([("a", "hypernym", "b")], "src string, rel string, dst string")
+    stop = spark.createDataFrame([("side",)], "key string")
+    hood = align.neighbourhood(members, definitions, edges, stop)
+    assert {(r.synset, r.key): r.w for r in hood.collect()} == {("a", "bank"): 1.0, ("a", "river side"): 1.0, ("a", "river"): 0.5, ("a", "shore"): 0.6, ("a", "land"): 0.5, ("b", "shore"): 1.0}
+    groups = spark.createDataFrame([("g", "group", "bank"), ("g", "group", "river land"), ("g", "context", "shore"), ("g", "name", "land")], "group string, role string, key string")
+    candidates = spark.createDataFrame([("g", "a", 1), ("g", "b", 2)], "group string, target string, ord int")
+    got = {r.target: (r.score, r.part) for r in align.group_scores(groups, candidates, hood).collect()}
+    assert got == {"a": (1.525, 1.25), "b": (0.25, 0.0)}
+    rows = [("g", f"w{i}", r, "n", None) for i, r in enumerate(["member", "hyponym", "far", "sibling", "unknown"])] + [("h", "x", "unknown", "n", None), ("h", "y", "hyponym", "v", None), ("k", "z", "unknown", "n", "List of birds")]
+    kept = {(r.group, r.word): r.kept for r in align.keeps(spark.createDataFrame(rows, "group string, word string, relation string, pos string, label string")).collect()}
+    assert [kept[("g", f"w{i}")] for i in range(5)] == [True, False, False, False, False] and kept[("h", "x")] and kept[("h", "y")] and not kept[("k", "z")]
+
+
+def test_results_and_evaluation(spark):
+    v = spark.createDataFrame([(w,) for w in ("bright", "brighter", "knowledge", "bank")], "key string")
+    got = {}
+    for r in search.results(spark.createDataFrame([("bright",), ("nolij",)], "query string"), v).orderBy("place").collect():
+        got.setdefault(r.query, []).append((r.key, r.kind))
+    assert got == {"bright": [("bright", "exact"), ("brighter", "completion")], "nolij": [("knowledge", "suggestion")]}
+    p = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "qid int, place int, synset string")
+    gold = spark.createDataFrame([(1, "b"), (1, "z"), (2, "c"), (3, "q")], "qid int, synset string")
+    assert {r.qid: (r.gold_place, r.top1, r.top3) for r in evaluate.gold_rank(p, gold).collect()} == {1: (2, False, True), 2: (1, True, True), 3: (None, False, False)}
+    entry = spark.createDataFrame([("bank", "n", "m", 1), ("bank", "v", "t", 1), ("bank", "n", "r", 2)], "key string, pos string, synset string, rank int")
+    items = spark.createDataFrame([(1, "bank", "v")], "qid int, key string, pos string")
+    assert evaluate.first_sense(items, entry).first().synset == "t" and evaluate.first_sense(items, entry, False).first().synset == "m"
+
+
+def test_word_screens(spark):
+    picked = spark.createDataFrame([(1, 2, "m", 2.0, ["x"]), (1, 1, "r", 5.0, ["boat"])], "qid int, place int, synset string, score double, clues array<string>")
+    meanings = spark.createDataFrame([("m", "n", "money", None), ("r", "n", "river", "by the bank")], "synset string, pos string, definition string, example string")
+    syn = spark.createDataFrame([("r", "shore", "shore", 1), ("r", "side of a river", "side of a river", 2)], "synset string, word string, key string, place int")
+    ant = spark.createDataFrame([("r", "sea")], "synset string, word string")
+    row = screen.word_screens(picked, meanings, syn, ant).first()
+    assert [m.synset for m in row.meanings] == ["r", "m"] and row.meanings[0].synonyms == ["shore"] and row.meanings[0].antonyms == ["sea"] and row.margin == 3.0 and row.more_meanings == 0
+    with pytest.raises(ValueError):
+        screen.word_screens(picked, meanings, syn, ant, "expert")
