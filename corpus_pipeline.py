@@ -16,8 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network rejects go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    """Documents that the toxicity network rejects go; every third label stays out of its training, as in op8."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     model = toxicity.fit(docs, labels)
     return toxicity.score_documents(docs.select(*COLUMNS), model).filter("predicted = 0").select(*COLUMNS)
 
