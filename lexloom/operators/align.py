@@ -66,12 +66,12 @@ def group_scores(groups: DataFrame, candidates: DataFrame, hood: DataFrame) -> D
 def keeps(words: DataFrame) -> DataFrame:
     """Adds ``kept`` to aligned words (group, word, relation, pos, label): close relations stay, lists lose unknown words.
 
-    A group is a list if its label says so, or if at least three words, and half of the known ones, are loosely related.
+    A group is a list if its label says so, or if at least three words, and half of the known ones that are no members, are loosely related.
     """
     by = Window.partitionBy("group")
     close = F.col("relation").isin("member", "similar", "hypernym") | ((F.col("relation") == "hyponym") & (F.col("pos") != "n"))
     known = F.col("relation") != "unknown"
     loose = F.sum(F.when(known & ~close, 1).otherwise(0)).over(by)
-    all_known = F.sum(F.when(known, 1).otherwise(0)).over(by)
+    all_known = F.sum(F.when(known & (F.col("relation") != "member"), 1).otherwise(0)).over(by)
     is_list = F.coalesce(F.lower("label").contains("list"), F.lit(False)) | ((loose >= 3) & (loose * 2 >= all_known))
     return words.withColumn("kept", close | (~known & ~is_list))
