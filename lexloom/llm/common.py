@@ -105,7 +105,9 @@ def unpack_all(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {n: np.concatenate([p[n] for p in parts]) for n in parts[0]} if parts else {}
 
 
-def split_by(key: np.ndarray, n: int):
-    """Stable order by ``key`` in 0..n-1 and the bounds of each value."""
+def split_by(key: np.ndarray):
+    """(value, its places in order) for each value of ``key``."""
     order = np.argsort(key, kind="stable")
-    return order, np.searchsorted(key[order], np.arange(n + 1))
+    values, at = np.unique(key[order], return_index=True)
+    for v, a, b in zip(values.tolist(), at, [*at[1:], len(order)]):
+        yield v, order[a:b]

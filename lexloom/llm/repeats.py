@@ -37,8 +37,10 @@ from lexloom.llm.common import materialize, pack, partitions, row_key, split_by,
 BLOCK = 1 << 18
 #: Anchors gathered before records are packed and sent.
 FLUSH = 400_000
-#: Documents sampled for hot anchors, and the share of them that makes an anchor hot.
-HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 2_000, 0.01, 24
+#: Text in one block of documents (and about as much in one bucket of anchors), and the most blocks.
+PART_BYTES, MOST_PARTS = 32 << 20, 1 << 20
+#: An anchor is hot in this share of all documents, or in so many; documents sampled at least, and finds at least.
+HOT_SHARE, HOT_DOCS, HOT_SAMPLE, HOT_LEAST = 0.01, 200_000, 2_000, 24
 NULL_ID = -(2**63)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -99,9 +101,14 @@ def _digest(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes())
 
 
-def hot_anchors(docs: DataFrame, spec: Spec) -> frozenset[int]:
-    """Anchors in at least HOT_SHARE of a sample of HOT_SAMPLE documents: 1 / HOT_SHARE anchors of a window's length at most matter."""
+def hot_anchors(docs: DataFrame, spec: Spec, total: int) -> frozenset[int]:
+    """Anchors that a sample finds in HOT_SHARE of the ``total`` documents, or in HOT_DOCS of them.
+
+    The second bound keeps buckets small however many documents there are; the sample grows as its share falls.
+    """
     n, k, tokens = spec.n, spec.k, spec.tokens
+    least = max(1e-6, min(HOT_SHARE, HOT_DOCS / max(1, total)))
+    size = max(HOT_SAMPLE, HOT_LEAST / least)
 
     def run(batches):
         for b in batches:
@@ -110,17 +117,17 @@ def hot_anchors(docs: DataFrame, spec: Spec) -> frozenset[int]:
                 if found:
                     yield pa.record_batch([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["g"])
 
-    share = min(1.0, HOT_SAMPLE / max(1, docs.select("k").count()))
+    share = min(1.0, size / max(1, total))
     sample = docs.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    counts = sample.mapInArrow(run, "g long").groupBy("g").count().filter(F.col("count") >= max(HOT_LEAST, int(HOT_SHARE * HOT_SAMPLE)))
-    return frozenset(r[0] for r in counts.orderBy(F.desc("count"), "g").limit(4096).collect())
+    counts = sample.mapInArrow(run, "g long").groupBy("g").count().filter(F.col("count") >= max(HOT_LEAST, int(least * size)))
+    return frozenset(r[0] for r in counts.orderBy(F.desc("count"), "g").limit(int(64 / least)).collect())
 
 
 class _Sender:
     """Gathers the records of one task and packs them by bucket and block."""
 
-    def __init__(self, spec: Spec, blocks: int, buckets: int, hot: frozenset[int]):
-        self.spec, self.blocks, self.buckets = spec, blocks, buckets
+    def __init__(self, spec: Spec, buckets: int, hot: frozenset[int]):
+        self.spec, self.buckets = spec, buckets
         self.hot = np.array(sorted(hot), dtype=np.int64).view(np.uint64)
         self.clear()
 
@@ -161,25 +168,19 @@ class _Sender:
         gone = ~new
         if not self.spec.first_stays:
             gone[first[many]] = True
-        yield from removed(did[gone], key[gone], block[gone], lo[gone], hi[gone], self.blocks, self.buckets)
+        yield from removed(did[gone], key[gone], block[gone], lo[gone], hi[gone], self.buckets)
         did, key, block, g, lo, hi, s = (x[first] for x in (did, key, block, g, lo, hi, s))
-        order, ends = split_by((g % np.uint64(self.buckets)).astype(np.int64), self.buckets)
-        for b in range(self.buckets):
-            i = order[ends[b] : ends[b + 1]]
-            if len(i):
-                i = i[np.lexsort((lo[i], did[i]))]
-                yield 0, 0, b, pack(did=did[i], key=key[i].astype(np.int64).view(np.uint64), block=block[i].astype(np.int16), g=g[i], s=s[i], lo=lo[i].astype(np.int64), len=(hi - lo)[i].astype(np.int16), many=many[i].astype(np.int8))
+        for b, i in split_by((g % np.uint64(self.buckets)).astype(np.int64)):
+            i = i[np.lexsort((lo[i], did[i]))]
+            yield 0, 0, b, pack(did=did[i], key=key[i].astype(np.int64).view(np.uint64), block=block[i].astype(np.int32), g=g[i], s=s[i], lo=lo[i].astype(np.int64), len=(hi - lo)[i].astype(np.int16), many=many[i].astype(np.int8))
         self.clear()
 
 
-def removed(did, key, block, lo, hi, blocks: int, buckets: int) -> Iterator[tuple]:
+def removed(did, key, block, lo, hi, buckets: int) -> Iterator[tuple]:
     """Rows of kind 1, packed by document block; any bucket takes them along."""
-    order, ends = split_by(block, blocks)
-    for b in range(blocks):
-        i = order[ends[b] : ends[b + 1]]
-        if len(i):
-            i = i[np.lexsort((lo[i], key[i], did[i]))]
-            yield 1, b, b % buckets, pack(did=did[i], key=key[i], lo=lo[i].astype(np.int64), hi=(hi - lo)[i].astype(np.int32))
+    for b, i in split_by(block):
+        i = i[np.lexsort((lo[i], key[i], did[i]))]
+        yield 1, b, b % buckets, pack(did=did[i], key=key[i], lo=lo[i].astype(np.int64), hi=(hi - lo)[i].astype(np.int32))
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -197,7 +198,7 @@ def _runs(*columns):
     return np.flatnonzero(change)
 
 
-def settle(rows: list[tuple], spec: Spec, blocks: int, buckets: int) -> list[tuple]:
+def settle(rows: list[tuple], spec: Spec, buckets: int) -> list[tuple]:
     """One bucket: removed windows (kind 1) and asked slices (kind 2, by document block)."""
     out = [r for r in rows if r[0] == 1]
     blobs = [r[3] for r in rows if r[0] == 0]
@@ -216,17 +217,14 @@ def settle(rows: list[tuple], spec: Spec, blocks: int, buckets: int) -> list[tup
     several = (count > 1) | (np.maximum.reduceat(r["many"], by_slice) > 0)
     gone = np.ones(len(r["g"]), bool)
     gone[by_slice] = several & (count > 1) & (not spec.first_stays)
-    out += removed(r["did"][gone], r["key"][gone], r["block"][gone], r["lo"][gone], r["hi"][gone], blocks, buckets)
+    out += removed(r["did"][gone], r["key"][gone], r["block"][gone], r["lo"][gone], r["hi"][gone], buckets)
     head = {n: a[by_slice] for n, a in r.items()}
     by_gram = _runs(head["g"])
     width = np.diff(np.concatenate((by_gram, [len(head["g"])])))
     asks = np.repeat(width > 1, width)
     head = {n: a[asks] for n, a in head.items()} | {"many": several[asks].astype(np.int8)}
-    order, ends = split_by(head["block"], blocks)
-    for b in range(blocks):
-        i = order[ends[b] : ends[b + 1]]
-        if len(i):
-            out.append((2, b, 0, pack(did=head["did"][i], key=head["key"][i], g=head["g"][i], lo=head["lo"][i], hi=(head["hi"] - head["lo"])[i].astype(np.int32), many=head["many"][i])))
+    for b, i in split_by(head["block"]):
+        out.append((2, b, 0, pack(did=head["did"][i], key=head["key"][i], g=head["g"][i], lo=head["lo"][i], hi=(head["hi"] - head["lo"])[i].astype(np.int32), many=head["many"][i])))
     return out
 
 
@@ -253,18 +251,15 @@ def hand_out(docs: pa.Table, asks: pa.Table, spec: Spec, buckets: int) -> list[t
         for j in range(a, b):
             cut[j] = raw(int(r["lo"][j]), int(r["lo"][j]) + int(r["hi"][j]) + spec.n)
     block = docs.column("block")[0].as_py()
-    order, ends = split_by((r["g"] % np.uint64(buckets)).astype(np.int64), buckets)
     out = []
-    for b in range(buckets):
-        i = order[ends[b] : ends[b + 1]]
-        if len(i):
-            raw = np.frombuffer(b"".join(cut[j] for j in i), np.uint8)
-            meta = pack(**{n: r[n][i] for n in ("did", "key", "g", "lo", "hi", "many")}, size=np.array([len(cut[j]) for j in i], np.int32))
-            out.append((3, block, b, len(meta).to_bytes(8, "little") + meta + pack(raw=raw)))
+    for b, i in split_by((r["g"] % np.uint64(buckets)).astype(np.int64)):
+        raw = np.frombuffer(b"".join(cut[j] for j in i), np.uint8)
+        meta = pack(**{n: r[n][i] for n in ("did", "key", "g", "lo", "hi", "many")}, size=np.array([len(cut[j]) for j in i], np.int32))
+        out.append((3, block, b, len(meta).to_bytes(8, "little") + meta + pack(raw=raw)))
     return out
 
 
-def decide(rows: list[tuple], spec: Spec, compare: Callable, blocks: int, buckets: int) -> list[tuple]:
+def decide(rows: list[tuple], spec: Spec, compare: Callable, buckets: int) -> list[tuple]:
     """One bucket of slices, sorted by anchor and owner: ``compare`` says which windows go."""
     parts, texts, where = [], [], []
     for _, block, _, data in rows:
@@ -280,7 +275,7 @@ def decide(rows: list[tuple], spec: Spec, compare: Callable, blocks: int, bucket
     r = {n: a[order] for n, a in r.items()}
     which, offset = compare(r, raw, spec.n)
     lo = r["lo"][which] + offset
-    return list(removed(r["did"][which], r["key"][which], r["block"][which], lo, lo, blocks, buckets))
+    return list(removed(r["did"][which], r["key"][which], r["block"][which], lo, lo, buckets))
 
 
 def covered(did: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int):
@@ -301,15 +296,15 @@ def repeated_windows(docs: DataFrame, spec: Spec, compare: Callable, finish: Cal
     """
     spark = docs.sparkSession
     tune(spark)
-    blocks = max(16, min(4096, 2 * partitions(spark)))
-    buckets = max(16, min(4096, 2 * partitions(spark)))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     own = own.withColumns({"did": F.coalesce("doc_id", F.lit(NULL_ID)), "k": row_key()})
-    own = own.withColumn("block", F.pmod("k", F.lit(blocks)).cast("int"))
-    hot = hot_anchors(own, spec)
+    total, size = own.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = max(16, min(MOST_PARTS, max(2 * partitions(spark), -(-(size or 0) // PART_BYTES))))
+    own = own.withColumn("block", F.pmod("k", F.lit(parts)).cast("int"))
+    hot = hot_anchors(own, spec, total)
 
     def send(batches):
-        sender = _Sender(spec, blocks, buckets, hot)
+        sender = _Sender(spec, parts, hot)
         for b in batches:
             for did, key, text, block in zip(*(b.column(i).to_pylist() for i in range(4))):
                 sender.add(did, key, block, text)
@@ -321,13 +316,13 @@ def repeated_windows(docs: DataFrame, spec: Spec, compare: Callable, finish: Cal
         return list(zip(*(table.column(n).to_pylist() for n in ("kind", "block", "bucket", "data")))) if table.num_rows else []
 
     def settled(table):
-        return _table(settle(rows_of(table), spec, blocks, buckets))
+        return _table(settle(rows_of(table), spec, parts))
 
     def handed(docs_table, asks):
-        return _table(hand_out(docs_table, asks, spec, buckets) if docs_table.num_rows else [])
+        return _table(hand_out(docs_table, asks, spec, parts) if docs_table.num_rows else [])
 
     def decided(table):
-        return _table(decide(rows_of(table), spec, compare, blocks, buckets))
+        return _table(decide(rows_of(table), spec, compare, parts))
 
     out_schema = pa.schema([("doc_id", pa.int64()), *((n.split()[0], pa.int64() if n.split()[1] == "long" else pa.string()) for n in schema.split(", "))])
     kept_types = "".join(f", `{c}` {own.schema[f'carry_{i}'].dataType.simpleString()}" for i, c in enumerate(carry))
