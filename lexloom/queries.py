@@ -151,7 +151,7 @@ UNION ALL SELECT a.src, b.src, 5, 'sibling' FROM edges a JOIN edges b ON a.dst =
 SELECT src, dst, arg_min(label, p) AS label FROM ways WHERE src <> dst GROUP BY src, dst"""
 )
 def near_relation(spark, sf_dir):
-    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier").filter("s_suppkey <= 100")
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     up = n.select(name("N", "n_nationkey").alias("src"), F.lit("hypernym").alias("rel"), name("R", "n_regionkey").alias("dst"))
     down = n.select(name("R", "n_regionkey"), F.lit("hyponym"), name("N", "n_nationkey"))
