@@ -96,12 +96,10 @@ dot AS (SELECT conv_id, id, CAST(sum(cw * tf) AS BIGINT) AS dot FROM cw JOIN con
 SELECT conv_id, id, dot, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY dot DESC, id) AS rank FROM dot) WHERE rank <= 3"""
 )
 def sparse_dot(spark, sf_dir):
-    docs = content(spark, sf_dir)
-    rare = docs.groupBy("key").count().filter("count between 2 and 30").select("key")
+    """The three documents with the highest dot product per conversation, over all content keys; the SQL knows only keys of 2 to 30 documents."""
     conv = features.keys(table(spark, sf_dir, "conversations"), "conv_id").groupBy("id", "key").agg(F.count(F.lit(1)).alias("w"))
-    dot = features.sparse_dot(conv.join(rare, "key"), docs.select("id", "key", F.col("tf").alias("w")))
-    by = Window.partitionBy("l_id").orderBy(F.desc("dot"), "r_id")
-    return dot.withColumn("rank", F.row_number().over(by).cast("long")).filter("rank <= 3").select(F.col("l_id").alias("conv_id"), F.col("r_id").alias("id"), "dot", "rank")
+    docs = content(spark, sf_dir).select("id", "key", F.col("tf").alias("w"))
+    return features.top_products(conv, docs, 3).select(F.col("l_id").alias("conv_id"), F.col("r_id").alias("id"), "dot", "rank")
 
 
 @register("SELECT doc_id, source, rank, 2.0::DOUBLE / rank AS prior, rank = 1 AS best FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)")

@@ -211,3 +211,34 @@ def test_word_screens(spark):
     assert [m.synset for m in row.meanings] == ["r", "m"] and row.meanings[0].synonyms == ["shore"] and row.meanings[0].antonyms == ["sea"] and row.margin == 3.0 and row.more_meanings == 0
     with pytest.raises(ValueError):
         screen.word_screens(picked, meanings, syn, ant, "expert")
+
+
+def test_top_products(spark):
+    from collections import Counter
+
+    left = [(i, f"k{(i * j) % 11}", j) for i in range(9) for j in range(1, 8)]
+    right = [(i, f"k{(i + j * j) % 17}", 1 + i % 3) for i in range(70) for j in range(4)] + [(None, "k1", 9)]
+    distinct = lambda rows: list({(i, k): (i, k, w) for i, k, w in rows}.values())
+    left, right = distinct(left), distinct(right + [(i, "all", 1) for i in range(70)])
+    left += [(20, "all", 2), (21, "none", 2)]
+    dot = Counter()
+    for i, k, w in left:
+        for j, q, v in right:
+            if k == q:
+                dot[i, j] += w * v
+    want = []
+    for i in {i for i, _ in dot}:
+        best = sorted(((j, d) for (l, j), d in dot.items() if l == i), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))
+        want += [(i, j, d, n) for n, (j, d) in enumerate(best[:3], 1)]
+    a, b = (spark.createDataFrame(x, "id long, key string, w long") for x in (left, right))
+    for block in (20, 1000):
+        assert sorted(map(tuple, features.top_products(a, b, 3, block).collect()), key=str) == sorted(want, key=str)
+
+
+def test_sparse_dot_counts_common_keys(spark, tmp_path):
+    from lexloom import queries
+
+    spark.createDataFrame([(i, "water" if i < 40 else "water water") for i in range(41)] + [(50, "single")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "water"), (2, "single"), (3, "the")], "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, queries.sparse_dot(spark, str(tmp_path)).collect()))
+    assert got == [(1, 0, 1, 2), (1, 1, 1, 3), (1, 40, 2, 1), (2, 50, 1, 1)]
