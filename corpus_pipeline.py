@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate, mixing, simhash, substring, toxicity
-from lexloom.llm.common import materialize
+from lexloom.llm.common import materialize, row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,11 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows that share its id count once."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("f_id")).distinct()
-    kept = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("f_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each group of near copies the row with the smallest id stays (null ids come last, then the row key decides); rows equal in id and text count once."""
+    first = simhash.first_rows(docs).select(F.col("doc_id").alias("f_id"), F.col("k").alias("f_key"))
+    own = docs.select(*COLUMNS).withColumn("k", row_key())
+    kept = own.join(first, (F.col("k") == F.col("f_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("f_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "k"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize, partitions, tune
+from lexloom.llm.common import materialize, partitions, row_key, tune
 
 RADIUS = 4
 SHINGLE = 4
@@ -67,15 +67,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) per row."""
+    """doc_id, k (the row key), fp (the fingerprint as a signed long) per row."""
     tune(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc_id", "k", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("k"), "text").mapInArrow(run, "doc_id long, k long, fp long")
 
 
 def _part(x: np.ndarray, block: tuple[int, int]) -> np.ndarray:
@@ -223,17 +223,28 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, fingerprint (16 hex digits), component_id."""
+def grouped_rows(docs: DataFrame) -> DataFrame:
+    """Per document row: doc_id, k, fp, component_id, root (names the component, also where no row of it has an id)."""
     prints = materialize(fingerprints(docs), "fingerprints")
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     points = materialize(points, "points")
     roots = materialize(components(links(points)), "roots")
     placed = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     merged = placed.join(roots.select(F.col("root").alias("merged")).distinct(), placed.root == F.col("merged"), "left")
-    single = merged.filter("merged is null").select("fp", F.col("least").alias("component_id"))
-    grouped = merged.filter("merged is not null").select("fp", "least", "root")
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = materialize(single.union(grouped.join(smallest, "root").select("fp", "component_id")), "placed")
-    out = prints.join(placed, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    single = merged.filter("merged is null").select("fp", F.col("least").alias("component_id"), "root")
+    own = merged.filter("merged is not null").select("fp", "least", "root")
+    smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = materialize(single.union(own.join(smallest, "root").select("fp", "component_id", "root")), "placed")
+    return prints.join(placed, "fp").select("doc_id", "k", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document row: doc_id, fingerprint (16 hex digits), component_id."""
+    return grouped_rows(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, k): of each component the row that comes first by id (null ids last) and row key."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
+    first = grouped_rows(docs).groupBy("root").agg(F.min_by(F.struct("doc_id", "k"), order).alias("first"))
+    return first.select("first.doc_id", "first.k")

@@ -50,3 +50,15 @@ def test_every_query_runs(spark):
     for name in ("op2_language_id", "op6_license_scan", "op3_chat_windows"):
         assert queries.QUERIES[name](spark, DIR).count() > 0
     assert suffixes.LENGTH == 100
+
+
+def test_near_copies_without_or_with_shared_ids(spark):
+    import random
+
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(900)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (3, c), (7, d), (7, e), (7, e), (2, e), (9, f)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, DIR).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (3, c), (7, d), (2, e), (9, f)], key=str)
