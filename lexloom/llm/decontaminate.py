@@ -1,21 +1,22 @@
-"""Benchmark decontamination with spaced seeds, in DataFrame operations only.
+"""Benchmark decontamination with pigeonhole seeds, in DataFrame operations only.
 
-A seed is a fixed mask over a few tokens that ignores some of them, so a replaced
-word hides a passage from at most the seeds that look at it.  Every token position
-of every document and test item gives one hash per mask; equal hashes name an item
-and a diagonal (place in the document less place in the item).  On each diagonal
-the words are then compared one by one: the pair counts if, in some stretch of
-``overlap`` words (or of the whole item, if shorter), at least ``similarity`` of the
-words are equal.
+A pair counts if, in some stretch of ``overlap`` words (or of the whole item, if
+shorter), at least ``similarity`` of the words are equal.  With e equal words and d
+replaced ones allowed in a stretch, the replaced words leave at most d + 1 runs of
+equal words, so the longest has ceil(e / (d + 1)) words at least (4 of 13): a seed is
+a run of that many words, and no tolerated pattern can break all of them.  Every token
+position of every document and test item gives one hash per length of run that the
+items need; equal hashes name an item and a diagonal (place in the document less place
+in the item).  On each diagonal the words are then compared one by one.
 
 The seeds of the test items are broadcast after a check of their number; beyond the
 limit the hashes are joined by a shuffle.  A document's hits are brought together
 per document, never per passage, so a passage found everywhere stays spread out.
 
 Tokens are runs of letters and digits, lower-cased.  Defined results: null and empty
-texts hold no tokens and are clean; items shorter than the longest mask are too
-short to mark a document; equal rows get equal results; an empty benchmark finds
-nothing.
+texts hold no tokens and are clean; items of a few words
+must occur whole (up to 4 words no replaced one is tolerated); items without a token
+mark nothing; equal rows get equal results; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import materialize, row_key
 
-#: Offsets that a mask looks at.
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 6, 8, 9))
 OVERLAP = 13
 SIMILARITY = 0.8
 #: Seeds of test items that may be broadcast (about 40 bytes each).
@@ -40,41 +39,47 @@ def token_array(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " ", -1), "")
 
 
-def seeds(tokens: Column, masks=MASKS, vocabulary: list[str] | None = None) -> Column:
-    """array<struct<pos, h>>: one hash per mask and place; the mask's number goes into the hash.
+def run_length(n_words: int, overlap: int = OVERLAP, similarity: float = SIMILARITY) -> int:
+    """Words of the run that every tolerated match of an item of ``n_words`` keeps whole."""
+    width = min(overlap, n_words)
+    equal = next((e for e in range(1, width) if e / width >= similarity), width)
+    return -(-equal // (width - equal + 1))
 
-    With a vocabulary, places are skipped whose tokens under the offsets common to all masks are not all in it.
+
+def seeds(tokens: Column, runs: list[int], vocabulary: list[str] | None = None) -> Column:
+    """array<struct<pos, run, h>>: one hash per length of run and place.
+
+    With a vocabulary, places are skipped where a token of the shortest run is not in it.
     """
     none = F.array().cast("array<int>")
-    shared = sorted(set.intersection(*map(set, masks)))
 
     def places(length):
         last = F.size(tokens) - F.lit(length)
         return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(none)
 
-    def hashed(m, mask):
-        return lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *[F.get(tokens, i + o) for o in mask]).alias("h"))
+    def hashed(run):
+        return lambda i: F.struct(i.alias("pos"), F.lit(run).alias("run"), F.xxhash64(F.lit(run), *[F.get(tokens, i + o) for o in range(run)]).alias("h"))
 
     def known(found):
         def test(i):
-            out = F.get(found, i + shared[0])
-            for o in shared[1:]:
+            out = F.get(found, i)
+            for o in range(1, runs[0]):
                 out = out & F.get(found, i + o)
             return out
 
         return test
 
     if vocabulary is None:
-        return F.concat(*[F.transform(places(mask[-1] + 1), hashed(m, mask)) for m, mask in enumerate(masks)])
+        return F.concat(*[F.transform(places(run), hashed(run)) for run in runs])
     found = F.transform(tokens, lambda w: w.isin(vocabulary))
     # An array of one binds its element to a name, so that it is worked out once.
-    starts = F.flatten(F.transform(F.array(found), lambda f: F.filter(places(min(mask[-1] for mask in masks) + 1), known(f))))
+    starts = F.flatten(F.transform(F.array(found), lambda f: F.filter(places(runs[0]), known(f))))
 
     def hashes(own):
-        return F.concat(*[F.transform(F.filter(own, fits(mask[-1])), hashed(m, mask)) for m, mask in enumerate(masks)])
+        return F.concat(*[F.transform(F.filter(own, fits(run)), hashed(run)) for run in runs])
 
-    def fits(reach):
-        return lambda i: i + reach < F.size(tokens)
+    def fits(run):
+        return lambda i: i + run <= F.size(tokens)
 
     return F.flatten(F.transform(F.array(starts), hashes))
 
@@ -87,10 +92,14 @@ def _stretch(tokens: Column, item: Column, diagonal: Column, overlap: int) -> Co
     return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(equal, s, width), F.lit(0), lambda a, x: a + x)))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int = OVERLAP, similarity: float = SIMILARITY) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, similarity: float = SIMILARITY) -> DataFrame:
     """Per document row: doc_id, k, n_hits (diagonals looked at), items (verified item ids), best (share of equal words)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_array(F.col("text")).alias("item")).distinct()
-    item_seeds = materialize(items.select("item_id", "item", F.explode(seeds(F.col("item"), masks)).alias("s")).select("item_id", "item", F.col("s.pos").alias("item_pos"), F.col("s.h").alias("h")), "item-seeds")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_array(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
+    lengths = [run_length(n, overlap, similarity) for n in range(1, overlap + 1)]
+    run_of = F.get(F.array(*[F.lit(n) for n in lengths]), F.least(F.size("item"), F.lit(overlap)) - 1)
+    runs = sorted(r[0] for r in items.select(run_of).distinct().collect()) or [max(lengths)]
+    own_seeds = items.select("item_id", "item", F.explode(F.filter(seeds(F.col("item"), runs), lambda s: s["run"] == run_of)).alias("s"))
+    item_seeds = materialize(own_seeds.select("item_id", "item", F.col("s.pos").alias("item_pos"), F.col("s.h").alias("h")), "item-seeds")
     slim = item_seeds.select("item_id", "item_pos", "h", F.xxhash64("item").alias("item_key"))
     if item_seeds.count() <= BROADCAST_SEEDS:
         slim = F.broadcast(slim)
@@ -98,7 +107,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int =
     tokens = own.select("doc_id", "k", token_array(F.col("text")).alias("tokens"))
     words = [r[0] for r in items.select(F.explode("item")).distinct().limit(VOCABULARY + 1).collect()]
     vocabulary = sorted(words) if len(words) <= VOCABULARY else None
-    places = tokens.select("doc_id", "k", F.explode(seeds(F.col("tokens"), masks, vocabulary)).alias("s")).select("doc_id", "k", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"))
+    places = tokens.select("doc_id", "k", F.explode(seeds(F.col("tokens"), runs, vocabulary)).alias("s")).select("doc_id", "k", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"))
     hits = places.join(slim, "h").groupBy("doc_id", "k", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
     words = item_seeds.select(F.col("item_id").alias("w_id"), F.xxhash64("item").alias("w_key"), "item").distinct()
     hits = hits.join(words, F.col("item_key").eqNullSafe(F.col("w_key")) & F.col("item_id").eqNullSafe(F.col("w_id"))).select("doc_id", "k", "item_id", "diagonal", "item")

@@ -361,3 +361,25 @@ def test_licenses(spark, docs, empty):
     assert [got[i].licenses for i in range(1, 8)] == [["MIT"], ["GPL-3.0"], [], [], [], ["CC-BY-NC-4.0"], ["Apache-2.0"]]
     assert got[8].n_blocks == 3 and got[4].n_blocks == 0
     assert licenses.scan_licenses(docs).count() == len(corpus_rows()) and licenses.scan_licenses(empty).collect() == []
+
+
+def test_decontaminate_without_seeds(spark):
+    """Every tolerated pattern of replaced words at 1 to 14 words, and patterns beyond, against a comparison of all places."""
+    from itertools import combinations
+
+    bench, rows = [], []
+    for n in range(1, 15):
+        item = [f"i{n}x{j}" for j in range(n)]
+        bench.append((n, " ".join(item)))
+        for hidden in (h for k in range(4) for h in combinations(range(n), k)):
+            own = ["zzz" if j in hidden else w for j, w in enumerate(item)]
+            rows.append((len(rows), "p q " + " ".join(own) + " r", n, hidden))
+    rows.append((len(rows), "i13x2 i13x3 i13x4 i13x5 i13x6 i13x7 i13x8 i13x9 i13x10 i13x11 i13x12 at the start", 13, (0, 1)))
+
+    def brute(n, hidden):
+        w = min(13, n)
+        return any(sum(j not in hidden for j in range(s, s + w)) / w >= 0.8 for s in range(n - w + 1))
+
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.overlaps(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {i: [n] if brute(n, hidden) else [] for i, _, n, hidden in rows}
