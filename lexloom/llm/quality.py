@@ -6,7 +6,7 @@ space).  The lines, not the texts, are shuffled: distinct documents are counted
 (host, line), first by (host, line, document), so a line that a third of all rows
 holds is counted in parts.  Lines held by more than ``max_docs`` documents of their
 host go; a document is depleted if less than ``min_left`` of its words remains.
-Lines below ``min_line_words`` words are too short to tell anything and stay.
+Every line with a word counts; a caller may exempt those below ``min_line_words`` words.
 
 Defined results: null and empty texts have no words and fail the base rule; a null
 source is a host of its own; equal rows are one document and get equal results;
@@ -26,7 +26,7 @@ from lexloom.llm.common import materialize, row_key, tune
 
 MAX_DOCS = 40
 MIN_LEFT = 0.3
-MIN_LINE_WORDS = 3
+MIN_LINE_WORDS = 1
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"

@@ -383,3 +383,11 @@ def test_decontaminate_without_seeds(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     got = {r.doc_id: r["items"] for r in decontaminate.overlaps(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert got == {i: [n] if brute(n, hidden) else [] for i, _, n, hidden in rows}
+
+
+def test_quality_counts_short_lines(spark):
+    rows = [(i, "Read more\nMenu\n" + ("Contact us\n" * 5 if i == 0 else " ".join(f"u{i}x{j}" for j in range(12))), "h") for i in range(50)]
+    rows += [(50 + i, "Contact us\n" * 6 + "Read more", "h") for i in range(45)]
+    got = {r.doc_id: r for r in quality.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].removed == [0, 1] and got[1].n_removed_words == 3 and got[1].kept
+    assert got[60].depleted and not got[60].kept
