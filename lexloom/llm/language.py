@@ -3,7 +3,9 @@
 Texts become normalised TF-IDF vectors of hashed letter n-grams (1 to 3, blanks
 between words included).  The document frequencies cover every training row; the
 centroids, several per language, come from spherical k-means on at most about
-``per_language`` training rows of each language, taken by a hash of the id.  A text
+``per_language`` training rows of each language, taken by a hash of the id; each
+language is fitted in its own task, however many there are, and the driver and every
+task hold 64 KB of centroids a language.  A text
 takes the language of the centroid with the highest cosine; it is rejected if it
 lies farther from that centroid than ``slack`` times the distance within which
 nearly all (``quantile``) of its training rows lie.
@@ -15,6 +17,7 @@ nothing; equal texts get equal results.
 
 from __future__ import annotations
 
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,6 @@ from lexloom.llm.common import tune
 
 DIM = 1 << 12
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
 CENTROIDS = 4
 ROUNDS = 8
 QUANTILE = 0.995
@@ -106,34 +108,33 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 3) -> di
     """``train``: doc_id, text, lang."""
     tune(train.sparkSession)
     train = train.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return None
+    sizes = train.groupBy(F.col("lang").alias("s_lang")).agg(F.count(F.lit(1)).alias("size"))
     df, n = document_frequencies(train)
     idf = np.log((n + 1) / (df + 1)) + 1
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, size in sizes:
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, per_language / size) * (1 << 30))))
-    by: dict[str, list] = {}
-    for lang, _, text in sorted(train.filter(chosen).select("lang", "doc_id", "text").collect()):
-        c = counts(text)
-        if c is not None:
-            by.setdefault(lang, []).append(vector(c, idf))
-    if not by:
+    chosen = train.join(F.broadcast(sizes), F.col("lang") == F.col("s_lang")).filter(draw < F.least(F.lit(1.0), F.lit(per_language) / F.col("size")) * (1 << 30))
+
+    def one(key, rows):
+        lang, texts = key[0].as_py(), rows.select(["doc_id", "text"]).to_pylist()
+        own = [counts(r["text"]) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))]
+        x = [vector(c, idf) for c in own if c is not None]
+        centers, limits = [], []
+        if x:
+            x = np.stack(x)
+            c = k_means(x, CENTROIDS, ROUNDS, np.random.default_rng([seed, zlib.crc32(lang.encode("utf-8", "surrogatepass"))]))
+            cos = x @ c.T
+            of = np.argmax(cos, axis=1)
+            for j in range(len(c)):
+                far = 1 - cos[of == j, j]
+                centers.append(c[j].astype(np.float32).tobytes())
+                limits.append(float(np.quantile(far, QUANTILE)) * SLACK + 0.05 if len(far) else 0.05)
+        return pa.table({"lang": pa.array([lang] * len(limits), pa.string()), "j": pa.array(range(len(limits)), pa.int32()), "center": pa.array(centers, pa.binary()), "top": pa.array(limits, pa.float64())})
+
+    fitted = sorted(chosen.select("lang", "doc_id", "text").groupBy("lang").applyInArrow(one, "lang string, j int, center binary, top double").collect(), key=lambda r: (r[0], r[1]))
+    if not fitted:
         return None
-    rng, langs, centers, limits = np.random.default_rng(seed), [], [], []
-    for lang in sorted(by):
-        x = np.stack(by[lang])
-        c = k_means(x, CENTROIDS, ROUNDS, rng)
-        cos = x @ c.T
-        of = np.argmax(cos, axis=1)
-        for j in range(len(c)):
-            far = 1 - cos[of == j, j]
-            langs.append(lang)
-            centers.append(c[j])
-            limits.append(float(np.quantile(far, QUANTILE)) * SLACK + 0.05 if len(far) else 0.05)
-    return {"idf": idf.astype(np.float32), "langs": langs, "centers": np.stack(centers), "limits": np.array(limits)}
+    centers = np.stack([np.frombuffer(r.center, np.float32) for r in fitted])
+    return {"idf": idf.astype(np.float32), "langs": [r.lang for r in fitted], "centers": centers, "limits": np.array([r.top for r in fitted])}
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:

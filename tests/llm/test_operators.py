@@ -391,3 +391,15 @@ def test_quality_counts_short_lines(spark):
     got = {r.doc_id: r for r in quality.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[1].removed == [0, 1] and got[1].n_removed_words == 3 and got[1].kept
     assert got[60].depleted and not got[60].kept
+
+
+def test_language_trains_every_value(spark):
+    rng = random.Random(2)
+    langs = {f"l{i:03}": [chr(0x4E00 + 12 * i + j) for j in range(12)] for i in range(210)}
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=4)) for _ in range(20))
+    rows = [(i, text(letters), lang) for i, (lang, letters) in enumerate(x for x in langs.items() for _ in range(2))]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model["langs"]) == set(langs)
+    asked = spark.createDataFrame([(i, text(letters)) for i, letters in enumerate(langs.values())], "doc_id long, text string")
+    hits = sum(r.lang_pred == f"l{r.doc_id:03}" for r in language.identify(asked, model).collect())
+    assert hits > 200
