@@ -1,10 +1,11 @@
 """Substring dedup by level-wise doubling: windows of words that repeat are removed, all copies of them.
 
-Candidates are content-chosen grams of the first length (see ``repeats``): every
-asked window holds one, so a repeat cannot be missed.  Where one gram stands in
-different surroundings, its windows climb the levels: a window is looked at with
-twice the length only if it repeats at the shorter one, and so do both of its
-halves; the climb ends at the asked length or when no candidate survives.
+``repeats`` brings together the slices of text that can share a window; here their
+windows climb the levels, from single words on: a window is looked at with twice the
+length only if it repeats at the shorter one, and so do both of its halves; the climb
+ends at the asked length or when no candidate survives.  Words are numbered by their
+bytes and windows by the numbers of their halves, so a class holds equal words, not
+equal hashes.
 
 Defined results: null and empty texts have no words; texts shorter than the window
 stay whole; words are compared as they are; equal rows (same doc_id and text) are
@@ -19,21 +20,20 @@ import hashlib
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexloom.llm.common import words_of
-from lexloom.llm.repeats import Spec, mix, repeated_windows
+from lexloom.llm.repeats import Spec, repeated_windows
 
 WINDOW = 35
 
 _seen: dict[bytes, int] = {}
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(text: str | None) -> np.ndarray:
     if len(_seen) > 500_000:
         _seen.clear()
     out = []
-    for w in words:
+    for w in words_of(text):
         h = _seen.get(w)
         if h is None:
             h = _seen[w] = xxhash.xxh3_64_intdigest(w)
@@ -41,63 +41,71 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def word_tokens(text: str | None):
-    h = word_hashes(words_of(text))
-    return h, lambda lo, hi: h[lo:hi].tobytes()
+def word_cutter(text: str | None):
+    words = words_of(text)
+    return lambda lo, hi: b" ".join(words[lo:hi])
 
 
-def level_lengths(n: int, first: int) -> list[int]:
-    """first, then at most twice the length before, up to n."""
+def level_lengths(n: int) -> list[int]:
+    """1, then at most twice the length before, up to n."""
     out = [n]
-    while out[-1] > first:
-        out.append(max(first, -(-out[-1] // 2)))
+    while out[-1] > 1:
+        out.append(-(-out[-1] // 2))
     return out[::-1]
 
 
-def _classes(ids: np.ndarray, weight: np.ndarray):
-    """Dense class numbers of ids, and whether a class weighs two or more."""
-    _, of = np.unique(ids, return_inverse=True)
-    return of, np.bincount(of, weights=weight)[of] >= 2
-
-
-def doubling(tokens: np.ndarray, room: np.ndarray, weight: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """Starts whose window of lengths[-1] tokens repeats.  ``room``: tokens left in the slice from each place on;
-    ``weight``: copies of the slice.  Class numbers stand for whole windows, so no length adds a chance of error."""
-    live = np.flatnonzero(room >= lengths[0])
-    h = tokens[live]
-    for j in range(1, lengths[0]):
-        h = mix(h, tokens[live + j])
-    of, again = _classes(h, weight[live])
-    number = np.full(len(tokens), -1, np.int64)
-    number[live[again]] = of[again]
-    for shorter, longer in zip(lengths, lengths[1:]):
-        live = live[again]
-        step = longer - shorter
-        live = live[room[live] >= longer]
-        live = live[number[live + step] >= 0]
+def doubling(words: np.ndarray, room: np.ndarray, weight: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, class) of the windows of lengths[-1] words that repeat.
+
+    ``words`` are numbers from 0, ``room`` the words left in the slice from each place on, ``weight`` the copies of the slice.
+    """
+    live, ids = np.arange(len(words)), words
+    for shorter, longer in zip([0, *lengths], lengths):
+        if shorter:
+            number = np.full(len(words), -1, np.int64)
+            number[live] = ids
+            live = live[room[live] >= longer]
+            live = live[number[live + longer - shorter] >= 0]
+            ids = number[live] * (ids.max(initial=0) + 1) + number[live + longer - shorter]
+        _, ids = np.unique(ids, return_inverse=True)
+        again = np.bincount(ids, weights=weight[live])[ids] >= 2 if len(live) else np.zeros(0, bool)
+        live, ids = live[again], ids[again]
         if not len(live):
-            return live
-        pair = number[live] * (number.max() + 1) + number[live + step]
-        of, again = _classes(pair, weight[live])
-        number = np.full(len(tokens), -1, np.int64)
-        number[live[again]] = of[again]
-    return live[again]
-
-
-def compare_levels(first: int):
-    def compare(r, raw, n):
-        tokens = raw.view(np.uint64)
-        size = (r["size"] // 8).astype(np.int64)
-        at = r["at"] // 8
-        own = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-        flat = tokens[np.repeat(at, size) + place]
-        starts = doubling(flat, np.repeat(size, size) - place, 1.0 + r["many"][own], level_lengths(n, first))
-        which = own[starts]
-        single = r["many"][which] == 0  # the others were settled with all their copies
-        return which[single], place[starts[single]]
-
-    return compare
+            break
+    return live, ids
+
+
+def compare_levels(r, texts, n, combine):
+    """The method as a ``judge`` of slices (see ``repeats.Spec``)."""
+    number: dict[bytes, int] = {}
+    rows = [[number.setdefault(w, len(number)) for w in t.split(b" ")] for t in texts]
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    words = np.fromiter((w for row in rows for w in row), np.int64, int(size.sum()))
+    own = np.repeat(np.arange(len(size)), size)
+    first = np.cumsum(size) - size
+    place = np.arange(len(own)) - first[own]
+    starts, of = doubling(words, size[own] - place, r["weight"][own], level_lengths(n))
+    label = _wholes(size, first, starts, of, n) if combine else None
+    starts = starts[r["weight"][own[starts]] == 1]  # copies met before were removed there
+    which, at = own[starts], place[starts]
+    new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)))) if len(which) else np.zeros(0, np.int64)
+    end = np.concatenate((new[1:], [len(which)])) - 1 if len(new) else new
+    return (which[new], at[new], at[end]), label
+
+
+def _wholes(size, first, starts, of, n) -> np.ndarray:
+    """A number per slice that equal slices share: they have one length and the classes of their first and last window."""
+    number_of = np.full(int(size.sum()), -1, np.int64)
+    number_of[starts] = of
+    head, tail = number_of[first], number_of[first + size - n]
+    alone = np.where((head < 0) | (tail < 0), np.arange(len(size)), -1)
+    move = np.lexsort((alone, tail, head, size))
+    change = np.zeros(len(move), bool)
+    for c in (alone, tail, head, size):
+        change[1:] |= c[move][1:] != c[move][:-1]
+    label = np.empty(len(move), np.int64)
+    label[move] = np.cumsum(change)
+    return label
 
 
 def _finish(text, starts, ends):
@@ -138,5 +146,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...
 
 
 def _repeats(docs, window, finish, schema, carry=()):
-    first = max(1, -(-window // 4))
-    return repeated_windows(docs, Spec(window, first, word_tokens, False), compare_levels(first), finish, schema, carry)
+    gram = max(1, -(-window // 4))
+    return repeated_windows(docs, Spec(window, gram, word_hashes, word_cutter, compare_levels), finish, schema, carry)

@@ -1,14 +1,17 @@
 """Suffix-array dedup of byte strings by deep-shallow sorting.
 
-Suffixes are sorted to ``n`` bytes only, the length that makes a repeat.  Multikey
-quicksort orders all suffixes of a bucket at once to a shallow depth, eight bytes a
-comparison: every open group picks a pivot, splits in less / equal / greater, and
-only the equal part goes deeper.  Groups that still hold several suffixes there
+``repeats`` brings together the slices of text that can share a string of ``n`` bytes.
+Multikey quicksort orders all suffixes of a group at once to a shallow depth, eight
+bytes a comparison: every open group picks a pivot, splits in less / equal / greater,
+and only the equal part goes deeper.  Groups that still hold several suffixes there
 share a long prefix; each is ordered by a blind trie, which finds a suffix's place
-by a few branch bytes and one comparison with a leaf.  Neighbours in the sorted
-order with ``n`` common bytes are copies; the earliest (smaller doc_id, then start)
-stays.  Candidates come from ``repeats``, so that only suffixes whose anchor occurs
-elsewhere in other surroundings are sorted at all.
+by a few branch bytes and one comparison with a leaf.
+
+A group is sorted twice: first the suffixes at the beginnings of its slices, to the
+slices' ends, which finds slices equal in whole, byte by byte; then, of the slices
+that differ, the suffixes at all places, to ``n`` bytes, the length that makes a
+repeat.  Neighbours in the sorted order that are equal are copies; the earliest
+(smaller doc_id, then start) stays.
 
 Defined results: null texts have no bytes; matches never cross documents; null ids
 come before all others; rows that share an id are ordered by a hash of their text;
@@ -33,19 +36,26 @@ _rng = np.random.Generator(np.random.PCG64(20))
 _BYTES = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 
 
-def byte_tokens(text: str | None):
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return _BYTES[np.frombuffer(raw, np.uint8)], lambda lo, hi: raw[lo:hi]
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def byte_hashes(text: str | None) -> np.ndarray:
+    return _BYTES[np.frombuffer(_raw(text), np.uint8)]
+
 
+def byte_cutter(text: str | None):
+    raw = _raw(text)
+    return lambda lo, hi: raw[lo:hi]
 
-def shallow_sort(words: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int):
+
+def shallow_sort(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int):
     """Level-synchronous multikey quicksort of the suffixes at ``start``.
 
-    ``words[i]`` holds bytes i..i+7, big-endian.  ``group`` (sorted) keeps suffixes apart.  Returns the order and,
-    for each place in it, the number of its final group (equal to ``depth`` bytes); group numbers ascend.
+    ``group`` (sorted) keeps suffixes apart.  Returns the order and, for each place in it, the number of its final group
+    (equal to ``depth`` bytes); group numbers ascend.
     """
     order, at = np.arange(len(start)), np.zeros(len(start), np.int64)
-    done: list[tuple[np.ndarray, np.ndarray]] = []
     base = np.arange(len(start))  # final places; a group owns the places of its members
     heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate((heads, [len(start)])))
@@ -61,7 +71,10 @@ def shallow_sort(words: np.ndarray, start: np.ndarray, group: np.ndarray, depth:
             if not len(order):
                 break
             heads = np.cumsum(sizes) - sizes
-        key = words[start[order] + at]
+        place = start[order] + at
+        key = np.zeros(len(place), np.uint64)
+        for j in range(8):
+            key = (key << np.uint64(8)) | data[place + j]
         a, b, c = key[heads], key[heads + sizes // 2], key[heads + sizes - 1]
         pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), sizes)
         side = (key >= pivot).astype(np.int64) + (key > pivot)
@@ -123,20 +136,20 @@ class BlindTrie:
                 yield node[1]
 
 
-def deep_shallow_sort(raw: bytes, start: np.ndarray, group: np.ndarray, n: int, shallow: int = SHALLOW):
-    """Order of the suffixes at ``start`` (ascending by ``group``, then ``n`` bytes) and the heads of equal ones."""
-    shallow = min(shallow, n // 8 * 8)
-    data = np.frombuffer(raw + b"\0" * 8, np.uint8)
-    words = np.zeros(len(raw) + 1, np.uint64)
-    for j in range(8):
-        words |= data[j : j + len(words)].astype(np.uint64) << np.uint64(8 * (7 - j))
-    order, head = shallow_sort(words, start, group, shallow)
+def deep_shallow_sort(raw: bytes, start: np.ndarray, group: np.ndarray, size: np.ndarray, shallow: int = SHALLOW):
+    """Order of the suffixes at ``start`` (ascending by ``group``, then ``size`` bytes) and the place of the first equal one.
+
+    The sizes of a group are equal.
+    """
+    shallow = min(shallow, int(size.min(initial=8)) // 8 * 8)
+    order, head = shallow_sort(np.frombuffer(raw + b"\0" * 8, np.uint8), start, group, shallow)
     equal = np.arange(len(order))
     first = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1]))) if len(order) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate((first, [len(order)])))
-    for a, size in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+    for a, many in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
         trie = BlindTrie()
-        members = order[a : a + size].tolist()
+        members = order[a : a + many].tolist()
+        n = int(size[members[0]])
         for m, at in zip(members, start[members].tolist()):
             trie.add(raw[at + shallow : at + n], m)
         at = a
@@ -147,21 +160,43 @@ def deep_shallow_sort(raw: bytes, start: np.ndarray, group: np.ndarray, n: int,
     return order, equal
 
 
-def compare_suffixes(shallow: int):
-    def compare(r, raw, n):
-        """Slices come sorted by anchor, then owner; a window goes unless its class starts with it."""
-        gram = np.cumsum(np.concatenate(([False], r["g"][1:] != r["g"][:-1])))
-        starts = r["hi"].astype(np.int64) + 1
-        own = np.repeat(np.arange(len(starts)), starts)
-        offset = np.arange(len(own)) - np.repeat(np.cumsum(starts) - starts, starts)
-        order, equal = deep_shallow_sort(raw.tobytes(), r["at"][own] + offset, gram[own], n, shallow)
-        # Windows were made in the order of owners and starts, so the smallest number of a class is its first copy.
-        least = np.full(len(order), len(order))
-        np.minimum.at(least, equal, order)
-        gone = np.sort(order[least[equal] != order])
-        return own[gone], offset[gone]
-
-    return compare
+def _first_of_equals(raw: bytes, start: np.ndarray, keys: tuple, size: np.ndarray, shallow: int) -> np.ndarray:
+    """Per suffix the smallest number of one equal to it, among those with equal ``keys``."""
+    move = np.lexsort((np.arange(len(start)), *keys))
+    change = np.zeros(len(move), bool)
+    for k in keys:
+        change[1:] |= k[move][1:] != k[move][:-1]
+    order, equal = deep_shallow_sort(raw, start[move], np.cumsum(change), size[move], shallow)
+    who = move[order]
+    least = np.full(len(who), len(who))
+    np.minimum.at(least, equal, who)
+    out = np.empty(len(who), np.int64)
+    out[who] = least[equal]
+    return out
+
+
+def compare_suffixes(r, texts, n, combine, shallow: int = SHALLOW):
+    """The method as a ``judge`` of slices (see ``repeats.Spec``); rows come in the order of groups, then owners."""
+    raw = b"".join(texts)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    at = np.cumsum(size) - size
+    label = _first_of_equals(raw, at, (size, r["g"]), size, shallow)
+    mine = np.arange(len(label))
+    whole = np.flatnonzero(label != mine)
+    out = (whole, np.zeros(len(whole), np.int64), size[whole] - n)
+    if combine:
+        return out, label
+    heads = mine[label == mine]
+    by = r["g"][heads]
+    width = np.diff(np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1], [True])))) if len(by) else np.zeros(0, np.int64)
+    heads = heads[np.repeat(width > 1, width)]
+    windows = size[heads] - n + 1
+    own = np.repeat(heads, windows)
+    offset = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
+    least = _first_of_equals(raw, at[own] + offset, (r["g"][own],), np.full(len(own), n), shallow)
+    gone = np.flatnonzero(least != np.arange(len(own)))  # windows are numbered by owner and start
+    out = tuple(np.concatenate(x) for x in zip(out, (own[gone], offset[gone], offset[gone])))
+    return out, label
 
 
 def _finish(text, starts, ends):
@@ -196,4 +231,4 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _repeats(docs, length, finish, schema):
     gram = max(1, min(GRAM, length // 3))
-    return repeated_windows(docs, Spec(length, gram, byte_tokens, True), compare_suffixes(SHALLOW), finish, schema)
+    return repeated_windows(docs, Spec(length, gram, byte_hashes, byte_cutter, compare_suffixes), finish, schema)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -126,12 +127,49 @@ def test_deep_shallow_order():
     start = rng.integers(0, len(raw) - 100, 800)
     group = np.sort(rng.integers(0, 3, 800))
     for shallow in (0, 8, 24, 96):
-        order, equal = suffixes.deep_shallow_sort(raw, start, group, 100, shallow)
+        order, equal = suffixes.deep_shallow_sort(raw, start, group, np.full(len(start), 100), shallow)
         strings = [(group[i], raw[start[i] : start[i] + 100]) for i in order]
         assert strings == sorted((g, raw[s : s + 100]) for g, s in zip(group, start))
         assert all((equal[i] == equal[i - 1]) == (strings[i] == strings[i - 1]) for i in range(1, len(order)))
 
 
+@pytest.mark.parametrize("name", ["words", "bytes"])
+@pytest.mark.parametrize("chunk", [2, 4096])
+def test_method_decides_every_window(name, chunk, monkeypatch):
+    """The steps of the substring operators without Spark: what goes is what the method returned, for equal slices, too."""
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    base = substring.Spec(35, 9, substring.word_hashes, substring.word_cutter, substring.compare_levels) if name == "words" else substring.Spec(100, 32, suffixes.byte_hashes, suffixes.byte_cutter, suffixes.compare_suffixes)
+    said: set = set()
+
+    def judge(r, texts, n, combine):
+        (which, a, b), label = base.judge(r, texts, n, combine)
+        said.update((int(r["did"][i]), int(r["lo"][i]) + j) for i, x, y in zip(which, a, b) for j in range(x, y + 1))
+        return (which, a, b), label
+
+    spec = repeats.Spec(base.n, base.k, base.tokens, base.cutter, judge)
+    texts = [t or "" for _, t in sorted(distinct_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    sent = []
+    for part in range(4):  # four tasks
+        sender = repeats._Sender(spec, 3, np.zeros(0, np.uint64))
+        for i in range(part, len(texts), 4):
+            sender.add(i, i, 0, texts[i])
+        sent += list(sender.flush())
+    first = [r for b in range(3) for r in repeats.settle([x for x in sent if x[2] == b], spec, 3)]
+    table = pa.table({"did": pa.array(range(len(texts)), pa.int64()), "k": pa.array(range(len(texts)), pa.int64()), "text": texts, "block": pa.array([0] * len(texts), pa.int32())})
+    handed = repeats.hand_out(table, repeats._table([r for r in first if r[0] == 2]), spec, 3)
+    second = [r for b in range(3) for r in repeats.decide([x for x in handed if x[2] == b], spec, 3)]
+    r = repeats.unpack_all([x[3] for x in first + second if x[0] == 1])
+    got = {(int(d), j) for d, lo, n in zip(r["did"], r["lo"], r["hi"]) for j in range(lo, lo + n + 1)}
+    tokens = [words(t) if name == "words" else t.encode() for t in texts]
+    seen, want, n = {}, set(), base.n
+    for i, t in enumerate(tokens):
+        for j in range(len(t) - n + 1):
+            seen.setdefault(tuple(t[j : j + n]), []).append((i, j))
+    for places in seen.values():
+        want |= set(places if name == "words" and len(places) > 1 else places[1:])
+    assert got == want == said and len(want) > 400
+
+
 def test_simhash(spark, docs, empty):
     def fingerprint(t):
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
