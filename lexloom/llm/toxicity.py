@@ -6,12 +6,14 @@ a window of ``WINDOW`` words in both directions, attention pools their states, a
 logistic unit scores the window.  All windows of a text are scored, each overlapping
 the next (the last one ends with the text); the highest is the text's score.
 
+All weights and embeddings start at random numbers and learn from the labels alone.
 Training sees at most about ``positives`` + ``negatives`` labelled rows, drawn by a
-hash of the id.  A text's label holds for its highest window, so each epoch scores
-all windows of the sample and learns from the highest of every text (the two highest
-of harmless texts).  The first coordinate of both embeddings starts at the log odds
-of its bucket in the sample; buckets of fewer than ``RARE`` texts stay as they are,
-so that single texts are not learned by heart.
+hash of the id, and of each at most ``windows`` windows, spread over the whole text;
+they are cut where the rows lie, so that the driver never holds a text.  A text's label
+is passed to its windows by an attention over their logits that sharpens from epoch to
+epoch: at first all windows learn it, in the end the highest one (of harmless texts the
+two highest).  Buckets that fewer than ``RARE`` texts of the sample hold stay zero, so
+that single texts are not learned by heart.
 
 Scoring is a map over the rows; each distinct word is embedded and projected once a
 worker and batch of texts.  Defined results: null texts and texts without a letter or
@@ -36,9 +38,13 @@ WINDOW, STRIDE = 128, 96
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 16, 1 << 15
 SIZE, HIDDEN, ATTENTION = 8, 8, 8
 POSITIVES, NEGATIVES = 800, 1600
-EPOCHS, LEAST_STEPS, RATE, BATCH = 8, 160, 0.01, 128
+#: Windows of one text that training sees, and letters of the longest word in them (longer ones are left out there).
+WINDOWS, LONGEST = 16, 48
+RATE, BATCH = 0.01, 64
+#: Epochs: how sharply a text's label is given to its highest windows (0: all alike), and the step of the embeddings.
+EPOCHS = ((0.0, 0.1), (0.0, 0.1), (1.0, 0.1), (2.0, 0.1), (4.0, 0.05), (4.0, 0.05), (8.0, 0.05), (8.0, 0.02), (16.0, 0.02))
+LEAST_STEPS = 400
 RARE = 4
-EMBED_RATE = 0.02
 #: Exponent of the loss that bounds the pull of mislabelled texts.
 ROBUST = 0.4
 THRESHOLD = 0.7
@@ -106,10 +112,22 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
     return ids[np.array(window_starts(len(ids)))[:, None] + np.arange(WINDOW)]
 
 
+def cut_windows(text: str, most: int = WINDOWS) -> list[str]:
+    """At most ``most`` windows of a text for training, evenly spread from its first to its last word."""
+    words = split_words(text)
+    if not words:
+        return []
+    starts = window_starts(len(words))
+    if len(starts) > most:
+        starts = [starts[round(i * (len(starts) - 1) / max(1, most - 1))] for i in range(most)]
+    cut = (" ".join(w for w in words[a : a + WINDOW] if len(w) <= LONGEST) for a in starts)
+    return [w for w in cut if w]
+
+
 def new_model(seed: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     r = lambda *s, k=0.3: rng.normal(0, k, s).astype(np.float32)
-    m = {"words": r(WORD_BUCKETS, SIZE, k=0.02), "chars": r(CHAR_BUCKETS, SIZE, k=0.02)}
+    m = {"words": r(WORD_BUCKETS, SIZE, k=0.1), "chars": r(CHAR_BUCKETS, SIZE, k=0.1)}
     for d in "fb":
         m |= {f"W{d}": r(2 * SIZE, 3 * HIDDEN), f"U{d}": r(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
     return m | {"A": r(2 * HIDDEN, ATTENTION), "a": np.zeros(ATTENTION, np.float32), "v": r(ATTENTION), "w": r(2 * HIDDEN), "b": np.full(1, -1.0, np.float32)}
@@ -171,13 +189,13 @@ def recur_back(dstates, U, live, saved):
     return dgates, dU
 
 
-def gradients(m, x, live, label):
+def gradients(m, x, live, label, weight=1.0):
     """Loss gradients of a batch of windows; x is (time, batch, 2 * SIZE)."""
     gf, gb = x @ m["Wf"] + m["cf"], x @ m["Wb"] + m["cb"]
     logit, (states, kf, kb, (k, alpha, p)) = forward(m, gf, gb, live, True)
     right = _sigmoid(np.where(label > 0, logit, -logit))
     # The further a label is from all evidence, the less it teaches: some labels are wrong.
-    dl = ((right - 1) * np.where(label > 0, 1, -1) * right**ROBUST).astype(np.float32) / len(label)
+    dl = ((right - 1) * np.where(label > 0, 1, -1) * right**ROBUST * weight).astype(np.float32) / len(label)
     g = {"w": p.T @ dl, "b": dl.sum(keepdims=True)}
     dp = dl[:, None] * m["w"]
     ds = alpha[:, :, None] * dp
@@ -215,59 +233,47 @@ def project(m, x):
     return np.concatenate((x @ m["Wf"] + m["cf"], pad)), np.concatenate((x @ m["Wb"] + m["cb"], pad))
 
 
-def log_odds(hits: np.ndarray, labels: np.ndarray, buckets: np.ndarray, n: int) -> np.ndarray:
-    """Shrunk log odds of buckets from (document, bucket) pairs, each once."""
-    pos = np.bincount(buckets[labels[hits] == 1], minlength=n)
-    neg = np.bincount(buckets[labels[hits] == 0], minlength=n)
-    p, q = labels.sum(), len(labels) - labels.sum()
-    return np.log((pos + 0.5) / (p + 1)) - np.log((neg + 0.5) / (q + 1)), pos + neg
-
-
-def train(texts: list[str], labels: list[int], seed: int = 11) -> dict | None:
-    y = np.array(labels, np.int64)
+def train(texts: list[list[str]], labels: list[int], seed: int = 11) -> dict | None:
+    """``texts``: per text its windows, each the words joined by blanks (see ``cut_windows``)."""
+    keep = [i for i, t in enumerate(texts) if t]
+    y = np.array([labels[i] for i in keep], np.int64)
     if not len(y) or y.min() == y.max():
         return None
     m, vocabulary = new_model(seed), Vocabulary()
-    ids = [vocabulary.ids(split_words(t)) for t in texts]
-    keep = [i for i, x in enumerate(ids) if len(x)]
-    ids, y = [ids[i] for i in keep], y[keep]
-    if not len(y) or y.min() == y.max():
-        return None
+    ids = [[vocabulary.ids(w.split(" ")) for w in texts[i]] for i in keep]
     word = np.array(vocabulary.word)
     chars, heads = vocabulary.flat_chars()
     common = {}
     for name, n, of in (("words", WORD_BUCKETS, lambda u: word[u]), ("chars", CHAR_BUCKETS, lambda u: np.concatenate([vocabulary.chars[i] for i in u]))):
-        pairs = [np.unique(of(np.unique(x))) for x in ids]
-        odds, seen = log_odds(np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]), y, np.concatenate(pairs), n)
-        common[name] = seen >= RARE
+        held = np.zeros(n, np.int64)
+        for own in ids:
+            held[np.unique(of(np.unique(np.concatenate(own))))] += 1
+        common[name] = held >= RARE
         m[name][~common[name]] = 0
-        m[name][:, 0] = np.where(common[name], odds * seen / (seen + 5.0), 0) / 3
-    windows = [windows_of(x) for x in ids]
-    size = np.array([len(w) for w in windows])
+    size = np.array([len(own) for own in ids])
+    windows = np.concatenate([windows_of(x) for own in ids for x in own])
+    text = np.repeat(np.arange(len(y)), size)
     first = np.cumsum(size) - size
-    windows = np.concatenate(windows)
+    # Both kinds weigh the same, however rare one of them is.
+    kind = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum())).astype(np.float32)
     rng = np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.items() if k not in ("words", "chars")}
-    square = {k: np.full((len(m[k]), 1), 1e-3, np.float32) for k in ("words", "chars")}
+    square = {k: np.full((len(m[k]), 1), 1e-4, np.float32) for k in ("words", "chars")}
     step = 0
-    for epoch in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // (2 * len(y))))):
-        x = embed(m, word, chars, heads)
-        if epoch:
-            s = score_windows(m, project(m, x), windows)
-        else:
-            hint = np.append(x[:, 0] + x[:, SIZE], -9)
-            s = hint[windows].max(axis=1)
-        pick, label = [], []
-        for i in range(len(y)):
-            own = s[first[i] : first[i] + size[i]]
-            top = np.argsort(-own, kind="stable")[: 1 if y[i] else 2]
-            pick += (first[i] + top).tolist()
-            label += [y[i]] * len(top)
-        pick, label = np.array(pick), np.array(label, np.float32)
-        order = rng.permutation(len(pick))
+    again = max(1, -(-LEAST_STEPS * BATCH // (2 * len(y) * len(EPOCHS))))
+    for sharp, embed_rate in np.repeat(np.array(EPOCHS), again, axis=0).tolist():
+        share = np.ones(len(windows), np.float32)
+        if sharp:
+            s = score_windows(m, project(m, embed(m, word, chars, heads)), windows)
+            share = np.exp(sharp * (s - np.maximum.reduceat(s, first)[text]))
+        share /= np.add.reduceat(share, first)[text]
+        pick = np.flatnonzero((share >= 0.02) & (share >= 0.5 / size[text]) | (rng.random(len(share)) < share))
+        order = pick[rng.permutation(len(pick))]
         for at in range(0, len(order), BATCH):
             o = order[at : at + BATCH]
-            win = windows[pick[o]].T
+            label = y[text[o]].astype(np.float32)
+            weight = share[o] * kind[text[o]]
+            win = windows[o].T
             live = win >= 0
             used, place = np.unique(np.where(live, win, 0), return_inverse=True)
             own = [vocabulary.chars[i] for i in used]
@@ -276,7 +282,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> dict | None:
             h = np.cumsum(lens) - lens
             xu = embed(m, word[used], c, h)
             xin = xu[place.reshape(win.shape)] * live[:, :, None]
-            _, g, dx = gradients(m, xin, live, label[o])
+            _, g, dx = gradients(m, xin, live, label, weight / weight.mean())
             dx = dx * live[:, :, None]
             step += 1
             for k, v in g.items():
@@ -293,7 +299,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> dict | None:
                 total = np.zeros((len(r), SIZE), np.float32)
                 np.add.at(total, of, d)
                 square[name][r] += (total * total).mean(axis=1, keepdims=True)
-                m[name][r] -= EMBED_RATE * total / np.sqrt(square[name][r])
+                m[name][r] -= embed_rate * total / np.sqrt(square[name][r])
     return m
 
 
@@ -330,17 +336,24 @@ class Scorer:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, windows: int = WINDOWS) -> dict | None:
     """Train on a bounded sample of ``labels`` (doc_id, toxic) with the texts of ``docs``."""
+    tune(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg((F.max("toxic") > 0).cast("int").alias("l_toxic"))
     sizes = dict(known.groupBy("l_toxic").count().collect())
     draw = F.pmod(F.xxhash64("l_id"), F.lit(1 << 30))
     share = lambda n, most: int(min(1.0, most / max(1, n)) * (1 << 30))
     sample = known.filter(draw < F.when(F.col("l_toxic") == 1, share(sizes.get(1, 0), positives)).otherwise(share(sizes.get(0, 0), negatives)))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    # The sample is bounded by its parameters, so it may be broadcast.
-    rows = own.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "l_toxic").collect()
-    rows = sorted(rows)
+
+    def cut(batches):
+        for b in batches:
+            wins = [cut_windows(t, windows) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(wins, pa.list_(pa.string())), b.column(2)], names=["doc_id", "windows", "toxic"])
+
+    # The sample is bounded by its parameters, so it may be broadcast; its windows are bounded, too.
+    rows = own.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "l_toxic").mapInArrow(cut, "doc_id long, windows array<string>, toxic int").collect()
+    rows = sorted((r.doc_id, r.windows, r.toxic) for r in rows)
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small hand-made tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -363,6 +364,72 @@ def test_toxicity(spark, empty):
     assert toxicity.score_documents(empty, model).collect() == []
 
 
+def plain_score(m, text):
+    """The network once more, a word and a gate at a time."""
+    said = re.findall(r"[^\W_]+", (text or "").lower())
+    if not said:
+        return 0.0
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def entry(w):
+        raw = b"^" + w.encode() + b"$"
+        places = [zlib.crc32(raw[i : i + 4], 7) for i in range(max(1, len(raw) - 3))] + [zlib.crc32(raw[:i], 7) for i in range(5, min(8, len(raw)) + 1)]
+        letters = [m["chars"][c % len(m["chars"])] for c in places]
+        return np.concatenate((m["words"][zlib.crc32(w.encode()) % len(m["words"])], [max(v[j] for v in letters) for j in range(len(letters[0]))]))
+
+    def walk(xs, d):
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            gate, own, n = x @ m["W" + d] + m["c" + d], h @ m["U" + d], toxicity.HIDDEN
+            z, r = sig(gate[:n] + own[:n]), sig(gate[n : 2 * n] + own[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(gate[2 * n :] + r * own[2 * n :])
+            out.append(h)
+        return out
+
+    best, last = -np.inf, max(0, len(said) - 128)
+    for at in sorted({*range(0, last, 96), last}):
+        xs = [entry(w) for w in said[at : at + 128]]
+        states = [np.concatenate(p) for p in zip(walk(xs, "f"), walk(xs[::-1], "b")[::-1])]
+        weight = np.exp([np.tanh(s @ m["A"] + m["a"]) @ m["v"] for s in states])
+        best = max(best, sum(w * (s @ m["w"]) for w, s in zip(weight / weight.sum(), states)) + m["b"][0])
+    return sig(best)
+
+
+def test_toxicity_scores_by_hand(spark):
+    rng = random.Random(8)
+    m = toxicity.new_model(5)
+    m = {k: (v + np.random.default_rng(3).normal(0, 0.3, v.shape)).astype(np.float32) for k, v in m.items()}
+    texts = [" ".join(rng.choice(VOCABULARY + ["élan", "x" * 70]) for _ in range(n)) for n in (1, 3, 127, 128, 129, 224, 225, 400, 5000)] + [None, "", "_ !", "Ab ab AB"]
+    df = spark.createDataFrame([(i % 4, t, "a", 7) for i, t in enumerate(texts + texts[:2])], "doc_id long, text string, score string, predicted int")
+    got = toxicity.score_documents(df, m).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        assert abs(r.score - plain_score(m, r.text)) < 1e-4 and r.predicted == int(r.score >= 0.7)
+    assert toxicity.cut_windows("a " * 5000, 16)[-1].split() == ["a"] * 128 and len(toxicity.cut_windows("b " * 5000, 16)) == 16
+    assert toxicity.cut_windows("", 4) == toxicity.cut_windows("y" * 60, 4) == []
+
+
+def test_toxicity_learns_from_labels(spark):
+    """Held-out rows of sf0.1: the trained network, the same network before training, and one trained on shuffled labels."""
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    asked = [(r.text, r.toxic) for r in docs.join(labels.filter(held), "doc_id").select("text", "toxic").collect()]
+
+    def auc(model):
+        p = np.concatenate([toxicity.Scorer(model).scores([t for t, _ in asked[i : i + 64]]) for i in range(0, len(asked), 64)])
+        y = np.array([y for _, y in asked])
+        above = (p[y == 1][:, None] > p[y == 0][None, :]) + 0.5 * (p[y == 1][:, None] == p[y == 0][None, :])
+        return above.mean()
+
+    assert auc(toxicity.fit(docs, labels.filter(~held))) >= 0.95
+    assert auc(toxicity.new_model(11)) < 0.8
+    mixed = labels.filter(~held).select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).cast("int").alias("toxic"))
+    assert auc(toxicity.fit(docs, mixed, 100, 200)) < 0.8
+
+
 def test_network_gradients():
     """Analytic gradients against differences."""
     m = {k: v.astype(np.float64) for k, v in toxicity.new_model(1).items()}
