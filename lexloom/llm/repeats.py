@@ -42,8 +42,10 @@ from lexloom.llm.common import materialize, pack, row_key, split_by, tune, unpac
 BLOCK = 1 << 18
 #: Anchors gathered before records are packed and sent.
 FLUSH = 200_000
-#: Text in one block of documents (and about as much in one bucket of anchors), and the most blocks.
-PART_BYTES, MOST_PARTS = 32 << 20, 1 << 22
+#: Text in one block of documents, buckets of slices per block (slices overlap, about four times), most blocks and most tasks.
+PART_BYTES, SPREAD, MOST_PARTS, MOST_TASKS = 32 << 20, 4, 1 << 20, 1 << 16
+#: Text that the method compares at once; groups are never split for it.
+PIECE = 4 << 20
 #: Records of an anchor above which equal slices are dealt in chunks of this size.
 CHUNK = 4096
 #: An anchor is hot in this share of all documents, or in so many; documents sampled at least, finds at least, anchors at most
@@ -141,6 +143,20 @@ def hot_anchors(docs: DataFrame, spec: Spec, total: int) -> np.ndarray:
     return np.sort(np.array(found, dtype=np.int64)).view(np.uint64)
 
 
+def judged(r: dict, texts: list[bytes], spec: Spec, combine: bool):
+    """``spec.judge`` on whole groups of about PIECE bytes at a time, which bounds its memory; rows are sorted by ``g``."""
+    heads = _runs(r["g"])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))[np.append(heads[1:], len(texts)) - 1]
+    cuts = np.append(0, np.append(heads[1:], len(texts))[np.flatnonzero(np.diff(ends // PIECE, append=-1))])
+    found, labels = [], []
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+        (which, a, b), label = spec.judge({c: x[lo:hi] for c, x in r.items()}, texts[lo:hi], spec.n, combine)
+        found.append((which + lo, a, b))
+        if combine:
+            labels.append(label + (labels[-1].max() + 1 if labels else 0))
+    return tuple(np.concatenate(x) for x in zip(*found)), np.concatenate(labels) if combine else None
+
+
 class _Sender:
     """Gathers the records of one task and packs them by bucket and block."""
 
@@ -197,7 +213,7 @@ class _Sender:
                     cut, last = self.spec.cutter(self.texts[doc]), doc
                 texts[i] = cut(int(same["lo"][i]), int(same["lo"][i]) + int(same["len"][i]) + self.spec.n)
             same["weight"] = np.ones(len(order))
-            (which, a, b), label = self.spec.judge(same, texts, self.spec.n, True)
+            (which, a, b), label = judged(same, texts, self.spec, True)
             yield from removed(same["did"][which], same["key"][which], same["block"][which], same["lo"][which] + a, same["lo"][which] + b, self.buckets)
             _, head, of = np.unique(label, return_index=True, return_inverse=True)  # the first row of a label is the earliest
             same["many"] = (np.bincount(of)[of] > 1).astype(np.int8)
@@ -320,7 +336,7 @@ def decide(rows: list[tuple], spec: Spec, buckets: int) -> list[tuple]:
     first[again[_runs(*(r[c][again] for c in ("g", "did", "key", "lo")))]] = True
     r["weight"][~first] = 0
     r["g"] = r["sub"]
-    (which, a, b), _ = spec.judge(r, texts, spec.n, False)
+    (which, a, b), _ = judged(r, texts, spec, False)
     return list(removed(r["did"][which], r["key"][which], r["block"][which], r["lo"][which] + a, r["lo"][which] + b, buckets))
 
 
@@ -346,13 +362,13 @@ def repeated_windows(docs: DataFrame, spec: Spec, finish: Callable, schema: str,
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     own = own.withColumns({"did": F.coalesce("doc_id", F.lit(NULL_ID)), "k": row_key()})
     total, size = own.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    parts = max(4 * spark.sparkContext.defaultParallelism, -(-(size or 0) // PART_BYTES))
-    parts = min(MOST_PARTS, parts)
+    parts = min(MOST_PARTS, max(4 * spark.sparkContext.defaultParallelism, -(-(size or 0) // PART_BYTES)))
+    buckets = SPREAD * parts
     own = own.withColumn("block", F.pmod("k", F.lit(parts)).cast("int"))
     hot = spark.sparkContext.broadcast(hot_anchors(own, spec, total))
 
     def send(batches):
-        sender = _Sender(spec, parts, hot.value)
+        sender = _Sender(spec, buckets, hot.value)
         for b in batches:
             for did, key, text, block in zip(*(b.column(i).to_pylist() for i in range(4))):
                 sender.add(did, key, block, text)
@@ -364,13 +380,13 @@ def repeated_windows(docs: DataFrame, spec: Spec, finish: Callable, schema: str,
         return list(zip(*(table.column(n).to_pylist() for n in ("kind", "block", "bucket", "data")))) if table.num_rows else []
 
     def settled(table):
-        return _table(settle(rows_of(table), spec, parts))
+        return _table(settle(rows_of(table), spec, buckets))
 
     def handed(docs_table, asks):
-        return _table(hand_out(docs_table, asks, spec, parts) if docs_table.num_rows else [])
+        return _table(hand_out(docs_table, asks, spec, buckets) if docs_table.num_rows else [])
 
     def decided(table):
-        return _table(decide(rows_of(table), spec, parts))
+        return _table(decide(rows_of(table), spec, buckets))
 
     results = ["doc_id", *(n.split()[0] for n in schema.split(", "))]
     out_schema = pa.schema([("doc_id", pa.int64()), *((n.split()[0], pa.int64() if n.split()[1] == "long" else pa.string()) for n in schema.split(", "))])
@@ -395,7 +411,8 @@ def repeated_windows(docs: DataFrame, spec: Spec, finish: Callable, schema: str,
         return out
 
     # As many tasks as blocks and buckets, so that a task's share stays the same at any size.
-    dealt = lambda df, by: df.repartition(parts, by).groupBy(by)
+    tasks = {"block": min(parts, MOST_TASKS), "bucket": min(buckets, MOST_TASKS)}
+    dealt = lambda df, by: df.repartition(tasks[by], by).groupBy(by)
     sent = own.select("did", "k", "text", "block").mapInArrow(send, ROW)
     first = materialize(dealt(sent, "bucket").applyInArrow(settled, ROW), "settled")
     slices = dealt(own, "block").cogroup(dealt(first.filter("kind = 2"), "block")).applyInArrow(handed, ROW)

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -67,7 +68,7 @@ def doubling(words: np.ndarray, room: np.ndarray, weight: np.ndarray, lengths: l
             live = live[room[live] >= longer]
             live = live[number[live + longer - shorter] >= 0]
             ids = number[live] * (ids.max(initial=0) + 1) + number[live + longer - shorter]
-        _, ids = np.unique(ids, return_inverse=True)
+        ids = pd.factorize(ids)[0].astype(np.int64)
         again = np.bincount(ids, weights=weight[live])[ids] >= 2 if len(live) else np.zeros(0, bool)
         live, ids = live[again], ids[again]
         if not len(live):
@@ -77,13 +78,18 @@ def doubling(words: np.ndarray, room: np.ndarray, weight: np.ndarray, lengths: l
 
 def compare_levels(r, texts, n, combine):
     """The method as a ``judge`` of slices (see ``repeats.Spec``)."""
-    number: dict[bytes, int] = {}
-    rows = [[number.setdefault(w, len(number)) for w in t.split(b" ")] for t in texts]
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    words = np.fromiter((w for row in rows for w in row), np.int64, int(size.sum()))
+    # Words are numbered by their bytes, once for equal texts.
+    distinct: dict[bytes, int] = {}
+    of_text = np.fromiter((distinct.setdefault(t, len(distinct)) for t in texts), np.int64, len(texts))
+    split = [t.split(b" ") for t in distinct]
+    numbers = pd.factorize(np.array([w for row in split for w in row], dtype=object))[0].astype(np.int64)
+    size = np.fromiter(map(len, split), np.int64, len(split))
+    begin = (np.cumsum(size) - size)[of_text]
+    size = size[of_text]
     own = np.repeat(np.arange(len(size)), size)
     first = np.cumsum(size) - size
     place = np.arange(len(own)) - first[own]
+    words = numbers[begin[own] + place]
     starts, of = doubling(words, size[own] - place, r["weight"][own], level_lengths(n))
     label = _wholes(size, first, starts, of, n) if combine else None
     starts = starts[r["weight"][own[starts]] == 1]  # copies met before were removed there
