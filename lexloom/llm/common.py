@@ -9,10 +9,10 @@ input, whatever they are called, never clash with theirs.
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 import numpy as np
@@ -28,32 +28,63 @@ BATCH_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small (one row may hold a very long text) and let workers on this machine import the package."""
+    """Keep the session's Arrow batches small (one row may hold a very long text) and ship this package to the workers, once a context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    sc = spark.sparkContext
+    if not getattr(sc, "_lexloom_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}-{sc.applicationId}.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(packed))
+        sc._lexloom_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share; one of our own only where none is set, and then in local mode alone."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
+#: Folders of the intermediate tables written here, in order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the intermediate tables written so far but for the last ``keep``; frames that read them end with it."""
+    jvm = spark.sparkContext._jvm
+    cut = max(0, len(_written) - keep)
+    for path in _written[:cut]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del _written[:cut]
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """(row, id, k): the rows of ``docs`` as one struct beside their keys, so that no column of theirs clashes with a helper's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), row_key().alias("k"))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,19 +4,20 @@ A pair counts if, in some stretch of ``overlap`` words (or of the whole item, if
 shorter), at least ``similarity`` of the words are equal.  With e equal words and d
 replaced ones allowed in a stretch, the replaced words leave at most d + 1 runs of
 equal words, so the longest has ceil(e / (d + 1)) words at least (4 of 13): a seed is
-a run of that many words, and no tolerated pattern can break all of them.  Every token
-position of every document and test item gives one hash per length of run that the
-items need; equal hashes name an item and a diagonal (place in the document less place
-in the item).  On each diagonal the words are then compared one by one.
+a mask of that many words, all others ignored, and no tolerated pattern can break all
+of its places.  Every token position of every document and test item gives one hash
+per length of mask that the items need, and with it the words around it that a
+stretch through the seed can reach.  Equal hashes bring two such surroundings
+together, which are then compared word by word, each hit by itself: no text and no
+item travels, and a passage found everywhere stays spread out.
 
 The seeds of the test items are broadcast after a check of their number; beyond the
-limit the hashes are joined by a shuffle.  A document's hits are brought together
-per document, never per passage, so a passage found everywhere stays spread out.
+limit the hashes are joined by a shuffle, both sides salted.
 
 Tokens are runs of letters and digits, lower-cased.  Defined results: null and empty
-texts hold no tokens and are clean; items of a few words
-must occur whole (up to 4 words no replaced one is tolerated); items without a token
-mark nothing; equal rows get equal results; an empty benchmark finds nothing.
+texts hold no tokens and are clean; items of a few words must occur whole (up to 4
+words no replaced one is tolerated); items without a token mark nothing; equal rows
+get equal results; an empty benchmark finds nothing; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize, row_key
+from lexloom.llm.common import boxed, materialize, row_key, unboxed
 
 OVERLAP = 13
 SIMILARITY = 0.8
-#: Seeds of test items that may be broadcast (about 40 bytes each).
-BROADCAST_SEEDS = 1_000_000
+#: Seeds of test items that may be broadcast (about 400 bytes each), and salts of a hash beyond that.
+BROADCAST_SEEDS, SALTS = 100_000, 16
 #: Words of the test items that may be looked up in every task to skip places early; with more, no place is skipped.
 VOCABULARY = 20_000
 
@@ -46,24 +47,39 @@ def run_length(n_words: int, overlap: int = OVERLAP, similarity: float = SIMILAR
     return -(-equal // (width - equal + 1))
 
 
-def seeds(tokens: Column, runs: list[int], vocabulary: list[str] | None = None) -> Column:
-    """array<struct<pos, run, h>>: one hash per length of run and place.
+def frames(overlap: int = OVERLAP, similarity: float = SIMILARITY) -> dict[int, int]:
+    """Per length of run the widest stretch that is looked for with it."""
+    out: dict[int, int] = {}
+    for n in range(1, overlap + 1):
+        run = run_length(n, overlap, similarity)
+        out[run] = max(out.get(run, 0), n)
+    return out
+
+
+def _around(tokens: Column, place: Column, run: int, width: int) -> Column:
+    """The words that a stretch of ``width`` through the run at ``place`` can hold; null beyond the text."""
+    return F.array(*[F.get(tokens, place + o) for o in range(run - width, width)])
+
+
+def seeds(tokens: Column, runs: dict[int, int], vocabulary: list[str] | None = None) -> Column:
+    """array<struct<pos, run, h, around>>: one hash per length of run and place.
 
     With a vocabulary, places are skipped where a token of the shortest run is not in it.
     """
     none = F.array().cast("array<int>")
+    shortest = min(runs)
 
     def places(length):
         last = F.size(tokens) - F.lit(length)
         return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(none)
 
     def hashed(run):
-        return lambda i: F.struct(i.alias("pos"), F.lit(run).alias("run"), F.xxhash64(F.lit(run), *[F.get(tokens, i + o) for o in range(run)]).alias("h"))
+        return lambda i: F.struct(i.alias("pos"), F.lit(run).alias("run"), F.xxhash64(F.lit(run), *[F.get(tokens, i + o) for o in range(run)]).alias("h"), _around(tokens, i, run, runs[run]).alias("around"))
 
     def known(found):
         def test(i):
             out = F.get(found, i)
-            for o in range(1, runs[0]):
+            for o in range(1, shortest):
                 out = out & F.get(found, i + o)
             return out
 
@@ -73,7 +89,7 @@ def seeds(tokens: Column, runs: list[int], vocabulary: list[str] | None = None)
         return F.concat(*[F.transform(places(run), hashed(run)) for run in runs])
     found = F.transform(tokens, lambda w: w.isin(vocabulary))
     # An array of one binds its element to a name, so that it is worked out once.
-    starts = F.flatten(F.transform(F.array(found), lambda f: F.filter(places(runs[0]), known(f))))
+    starts = F.flatten(F.transform(F.array(found), lambda f: F.filter(places(shortest), known(f))))
 
     def hashes(own):
         return F.concat(*[F.transform(F.filter(own, fits(run)), hashed(run)) for run in runs])
@@ -84,53 +100,53 @@ def seeds(tokens: Column, runs: list[int], vocabulary: list[str] | None = None)
     return F.flatten(F.transform(F.array(starts), hashes))
 
 
-def _stretch(tokens: Column, item: Column, diagonal: Column, overlap: int) -> Column:
-    """Most equal words in a stretch of ``overlap`` (or the item's length) on a diagonal."""
-    equal = F.transform(item, lambda w, j: F.when((diagonal + j >= 0) & (F.get(tokens, F.greatest(diagonal + j, F.lit(0))) == w), 1).otherwise(0))
-    width = F.least(F.lit(overlap), F.size(item))
+def _most_equal(own: Column, item: Column, width: Column) -> Column:
+    """Most equal words in a stretch of ``width`` that lies inside the item, of two surroundings of one seed."""
+    equal = F.zip_with(own, item, lambda a, b: F.when(a == b, 1).otherwise(0))
     starts = F.sequence(F.lit(1), F.size(item) - width + 1)
-    return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(equal, s, width), F.lit(0), lambda a, x: a + x)))
+    inside = lambda s: F.get(item, s - 1).isNotNull() & F.get(item, s + width - 2).isNotNull()
+    held = lambda e: lambda s: F.when(inside(s), F.aggregate(F.slice(e, s, width), F.lit(0), lambda a, x: a + x)).otherwise(0)
+    return F.array_max(F.flatten(F.transform(F.array(equal), lambda e: F.transform(starts, held(e)))))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, similarity: float = SIMILARITY) -> DataFrame:
-    """Per document row: doc_id, k, n_hits (diagonals looked at), items (verified item ids), best (share of equal words)."""
+    """Per document row: doc_id, k, n_hits (equal seeds looked at), items (verified item ids), best (share of equal words)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_array(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
     lengths = [run_length(n, overlap, similarity) for n in range(1, overlap + 1)]
     run_of = F.get(F.array(*[F.lit(n) for n in lengths]), F.least(F.size("item"), F.lit(overlap)) - 1)
-    runs = sorted(r[0] for r in items.select(run_of).distinct().collect()) or [max(lengths)]
+    widest = frames(overlap, similarity)
+    used = sorted(r[0] for r in items.select(run_of).distinct().collect()) or [max(lengths)]
+    runs = {r: widest[r] for r in used}
     own_seeds = items.select("item_id", "item", F.explode(F.filter(seeds(F.col("item"), runs), lambda s: s["run"] == run_of)).alias("s"))
-    item_seeds = materialize(own_seeds.select("item_id", "item", F.col("s.pos").alias("item_pos"), F.col("s.h").alias("h")), "item-seeds")
-    slim = item_seeds.select("item_id", "item_pos", "h", F.xxhash64("item").alias("item_key"))
-    if item_seeds.count() <= BROADCAST_SEEDS:
-        slim = F.broadcast(slim)
+    own_seeds = own_seeds.select("item_id", F.least(F.lit(overlap), F.size("item")).alias("width"), F.col("s.h").alias("h"), F.col("s.around").alias("item"))
+    item_seeds = materialize(own_seeds, "item-seeds")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), "text")
     tokens = own.select("doc_id", "k", token_array(F.col("text")).alias("tokens"))
     words = [r[0] for r in items.select(F.explode("item")).distinct().limit(VOCABULARY + 1).collect()]
     vocabulary = sorted(words) if len(words) <= VOCABULARY else None
-    places = tokens.select("doc_id", "k", F.explode(seeds(F.col("tokens"), runs, vocabulary)).alias("s")).select("doc_id", "k", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"))
-    hits = places.join(slim, "h").groupBy("doc_id", "k", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
-    words = item_seeds.select(F.col("item_id").alias("w_id"), F.xxhash64("item").alias("w_key"), "item").distinct()
-    hits = hits.join(words, F.col("item_key").eqNullSafe(F.col("w_key")) & F.col("item_id").eqNullSafe(F.col("w_id"))).select("doc_id", "k", "item_id", "diagonal", "item")
-    per_doc = hits.groupBy(F.col("doc_id").alias("h_id"), F.col("k").alias("h_key")).agg(F.collect_list(F.struct("item_id", "diagonal", "item")).alias("hits"))
-    joined = own.join(per_doc, (F.col("k") == F.col("h_key")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
-    joined = joined.select("doc_id", "k", "hits", F.when(F.col("hits").isNotNull(), token_array(F.col("text"))).alias("tokens"))
-    width = lambda x: F.least(F.lit(overlap), F.size(x["item"]))
-    share = lambda t: lambda x: F.struct(x["item_id"].alias("item_id"), (_stretch(t, x["item"], x["diagonal"], overlap) / width(x)).alias("share"))
-    # The tokens are bound to a name before the hits are gone through; else they would be worked out for each word.
-    scored = F.flatten(F.transform(F.array("tokens"), lambda t: F.transform(F.col("hits"), share(t))))
-    joined = joined.withColumn("scored", scored)
-    verified = F.filter("scored", lambda x: x["share"] >= similarity)
-    items_found = F.array_sort(F.array_distinct(F.transform(verified, lambda x: x["item_id"])))
+    places = tokens.select("doc_id", "k", F.explode(seeds(F.col("tokens"), runs, vocabulary)).alias("s")).select("doc_id", "k", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"), F.col("s.around").alias("own"))
+    if item_seeds.count() <= BROADCAST_SEEDS:
+        hits = places.join(F.broadcast(item_seeds), "h")
+    else:
+        salted = item_seeds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        hits = places.withColumn("salt", F.pmod(F.xxhash64("k", "pos"), F.lit(SALTS))).join(salted, ["h", "salt"])
+    hits = hits.select("doc_id", "k", "item_id", (_most_equal(F.col("own"), F.col("item"), F.col("width")) / F.col("width")).alias("share"))
+    by_item = hits.groupBy("doc_id", "k", "item_id").agg(F.max("share").alias("share"), F.count(F.lit(1)).alias("n"))
+    good = F.when(F.col("share") >= similarity, F.struct("item_id"))
+    per_doc = by_item.groupBy(F.col("doc_id").alias("h_id"), F.col("k").alias("h_key")).agg(F.sum("n").alias("n_hits"), F.array_sort(F.collect_list(good)).alias("found"), F.max("share").alias("best"))
+    keys = own.select("doc_id", "k")
+    joined = keys.join(per_doc, (F.col("k") == F.col("h_key")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
     return joined.select(
         "doc_id",
         "k",
-        F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).cast("long").alias("n_hits"),
-        F.coalesce(items_found, F.array().cast("array<bigint>")).alias("items"),
-        F.coalesce(F.array_max(F.transform("scored", lambda x: x["share"])), F.lit(0.0)).alias("best"),
+        F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"),
+        F.coalesce(F.transform("found", lambda x: x["item_id"]), F.array().cast("array<bigint>")).alias("items"),
+        F.coalesce("best", F.lit(0.0)).alias("best"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those that overlap a test item."""
-    bad = overlaps(docs, benchmark, **options).filter(F.size("items") > 0).select(F.col("doc_id").alias("b_id"), F.col("k").alias("b_key"))
-    return docs.join(bad, (row_key() == F.col("b_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("b_id")), "left_anti")
+    bad = overlaps(docs, benchmark, **options).filter(F.size("items") > 0).select("doc_id", "k").distinct()
+    same = (F.col("own.k") == F.col("bad.k")) & F.col("own.id").eqNullSafe(F.col("bad.doc_id"))
+    return unboxed(boxed(docs).alias("own").join(bad.alias("bad"), same, "left_anti"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, materialize
+from lexloom.llm.common import WORD, boxed, materialize
 
 #: A per-source table of at most so many rows is broadcast; beyond it the join is salted instead.
 BROADCAST_SOURCES = 50_000
@@ -83,8 +83,9 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix-1") -> DataFrame:
     """The mixed corpus itself: the rows of ``docs``, each as often as its plan says, with a ``copy`` number from 1.
 
-    Columns of ``docs`` named copy or mix_* are dropped first.
+    A column of ``docs`` named copy comes out as copy_input.
     """
-    docs = docs.select([c for c in docs.columns if c != "copy" and not c.startswith("mix_")])
-    planned = _planned(docs, weights, share, cap, seed).filter("mix_plan.copies > 0")
-    return planned.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_plan.copies").cast("int"))).alias("copy"))
+    named = docs.withColumnRenamed("copy", "copy_input") if "copy" in docs.columns else docs
+    own = boxed(named).select("row", "row.doc_id", "row.source", "row.text")
+    planned = _planned(own, weights, share, cap, seed).filter("mix_plan.copies > 0")
+    return planned.select("row.*", F.explode(F.sequence(F.lit(1), F.col("mix_plan.copies").cast("int"))).alias("copy"))

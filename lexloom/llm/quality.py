@@ -4,13 +4,17 @@ One pass over the texts gives, per row, the base figures and the hashes and word
 counts of its normalised lines (A-Z lower-cased, digits to 0, runs of blanks to one
 space).  The lines, not the texts, are shuffled: distinct documents are counted per
 (host, line), first by (host, line, document), so a line that a third of all rows
-holds is counted in parts.  Lines held by more than ``max_docs`` documents of their
-host go; a document is depleted if less than ``min_left`` of its words remains.
+holds is counted in parts.  A line goes if it is held by more than ``max_share`` of
+its host's documents, and by more than ``least_docs``; so the rule is the same for
+hosts of any size.  The lines to go are few per host (lines per document divided by
+``max_share`` at most); they are broadcast after a check of their number, else joined
+with salts.  A document is depleted if less than ``min_left`` of its words remains.
 Every line with a word counts; a caller may exempt those below ``min_line_words`` words.
 
 Defined results: null and empty texts have no words and fail the base rule; a null
 source is a host of its own; equal rows are one document and get equal results;
-documents are counted by doc_id, null ids by a hash of the text.
+documents are counted by doc_id, null ids by a hash of the text; further columns of
+the input may have any name.
 """
 
 from __future__ import annotations
@@ -22,14 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize, row_key, tune
+from lexloom.llm.common import boxed, materialize, row_key, tune, unboxed
 
-MAX_DOCS = 40
+MAX_SHARE, LEAST_DOCS = 0.05, 4
 MIN_LEFT = 0.3
 MIN_LINE_WORDS = 1
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-SYMBOLS = "#*$%&|<>"
+#: Lines to go that may be broadcast (about 60 bytes each); salts of a line beyond that.
+BROADCAST_LINES, SALTS = 500_000, 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -87,16 +92,26 @@ def figures(docs: DataFrame, min_line_words: int) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def line_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+def _marked(lines: DataFrame, frequent: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of ``lines`` whose line is frequent; no task gets all rows of one line."""
+    frequent = materialize(frequent, "frequent")
+    if frequent.count() <= BROADCAST_LINES:
+        return lines.join(F.broadcast(frequent), by)
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("k", "pos"), F.lit(SALTS)))
+    return salted.join(frequent.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*by, "salt"]).drop("salt")
+
+
+def line_verdicts(docs: DataFrame, max_share: float = MAX_SHARE, least_docs: int = LEAST_DOCS, min_left: float = MIN_LEFT, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """Per row: doc_id, k, the base figures, n_removed_words, removed (line numbers from 0), base_failed, depleted, kept."""
-    rows = materialize(figures(docs, min_line_words), "lines")
-    lines = rows.select("doc_id", "k", "host", F.inline("lines")).select("doc_id", "k", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "pos", "h", "n")
+    rows = materialize(figures(docs, min_line_words), "lines").withColumn("member", F.coalesce("doc_id", "k"))
+    named = rows.withColumn("no_host", F.col("host").isNull()).withColumn("host", F.coalesce("host", F.lit("")))
+    lines = named.select("k", "member", "host", "no_host", F.inline("lines"))
     by = ["host", "no_host", "h"]
-    member = F.coalesce("doc_id", "k")
-    frequent = lines.select(*by, member.alias("member")).distinct().groupBy(*by).count().filter(F.col("count") > max_docs).select(*by)
-    hits = lines.join(frequent, by)
-    hits = hits.groupBy("k", member.alias("member")).agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
-    out = rows.drop("lines").withColumn("member", member).join(hits, ["k", "member"], "left")
+    size = named.select("host", "no_host", "member").distinct().groupBy("host", "no_host").agg(F.count(F.lit(1)).alias("size"))
+    held = lines.select(*by, "member").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > least_docs)
+    frequent = held.join(size, ["host", "no_host"]).filter(F.col("held") > F.col("size") * F.lit(max_share)).select(*by)
+    hits = _marked(lines, frequent, by).groupBy("k", "member").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
+    out = rows.drop("lines").join(hits, ["k", "member"], "left")
     gone = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
     out = out.withColumn("n_removed_words", gone).withColumn("removed", F.array_sort(F.transform(F.coalesce("gone", F.array()), lambda x: x["pos"])))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -105,10 +120,11 @@ def line_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = M
     return out.select("doc_id", "k", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "removed", "base_failed", "depleted", (~failed & ~depleted).alias("kept"))
 
 
-def clean_documents(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """The kept rows of ``docs``, all columns, their texts without the removed lines."""
-    verdicts = line_verdicts(docs, max_docs, min_left, min_line_words).filter("kept").select(F.col("doc_id").alias("q_id"), F.col("k").alias("q_key"), F.col("removed").alias("q_removed")).distinct()
-    joined = docs.withColumn("q_own", row_key()).join(verdicts, (F.col("q_own") == F.col("q_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("q_id")))
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("q_removed", i))
-    text = F.when(F.size("q_removed") > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+def clean_documents(docs: DataFrame, **options) -> DataFrame:
+    """The kept rows of ``docs``, all columns, their texts without the removed lines; ``options`` as in ``line_verdicts``."""
+    verdicts = line_verdicts(docs, **options).filter("kept").select("doc_id", "k", "removed").distinct()
+    same = (F.col("own.k") == F.col("v.k")) & F.col("own.id").eqNullSafe(F.col("v.doc_id"))
+    joined = boxed(docs).alias("own").join(verdicts.alias("v"), same)
+    lines = F.filter(F.split("own.row.text", "\n", -1), lambda x, i: ~F.array_contains("v.removed", i))
+    text = F.when(F.size("v.removed") > 0, F.array_join(lines, "\n")).otherwise(F.col("own.row.text"))
+    return unboxed(joined.withColumn("row", F.col("own.row").withField("text", text)))

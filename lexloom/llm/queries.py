@@ -94,8 +94,9 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 lines AS (SELECT doc_id, source, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, source, string_split(t, chr(10)) AS l FROM d)),
 worded AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded WHERE n > 0 GROUP BY doc_id),
-norm AS (SELECT doc_id, source, n, array_to_string(regexp_extract_all(translate(line, {_AZ}), '[^\x20\x09-\x0D]+'), ' ') AS h FROM worded WHERE n >= 3),
-often AS (SELECT source, h FROM norm GROUP BY source, h HAVING count(DISTINCT doc_id) > 40),
+norm AS (SELECT doc_id, source, n, array_to_string(regexp_extract_all(translate(line, {_AZ}), '[^\x20\x09-\x0D]+'), ' ') AS h FROM worded WHERE n >= 1),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS size FROM d GROUP BY source),
+often AS (SELECT norm.source, h FROM norm JOIN hosts ON norm.source IS NOT DISTINCT FROM hosts.source GROUP BY norm.source, h HAVING count(DISTINCT doc_id) > 4 AND count(DISTINCT doc_id) > any_value(size) * 0.05::DOUBLE),
 gone AS (SELECT doc_id, sum(n) AS n FROM norm JOIN often ON norm.h = often.h AND norm.source IS NOT DISTINCT FROM often.source GROUP BY doc_id),
 f AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
@@ -110,17 +111,15 @@ pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM
 cov AS (SELECT doc_id, i, word, max(CASE WHEN twice.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM pos LEFT JOIN twice USING (doc_id, i)),
 kept AS (SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS t FROM cov GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    # Without seeds: every diagonal of every document and item on which a word is equal.
     "op5_benchmark_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-bp AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b),
-ds AS (SELECT doc_id, i, concat_ws(' ', 'a', w[i], w[i+1], w[i+2], w[i+3], w[i+5], w[i+6]) AS h FROM dp WHERE i + 6 <= len(w) UNION ALL SELECT doc_id, i, concat_ws(' ', 'b', w[i], w[i+1], w[i+3], w[i+6], w[i+8], w[i+9]) FROM dp WHERE i + 9 <= len(w)),
-bs AS (SELECT item_id, i, concat_ws(' ', 'a', w[i], w[i+1], w[i+2], w[i+3], w[i+5], w[i+6]) AS h FROM bp WHERE i + 6 <= len(w) UNION ALL SELECT item_id, i, concat_ws(' ', 'b', w[i], w[i+1], w[i+3], w[i+6], w[i+8], w[i+9]) FROM bp WHERE i + 9 <= len(w)),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS dg FROM ds JOIN bs USING (h)),
-eq AS (SELECT doc_id, item_id, dg, b.w AS bw, list_transform(range(1, len(b.w) + 1), lambda j: CASE WHEN dg + j >= 1 AND d.w[dg + j] = b.w[j] THEN 1 ELSE 0 END) AS e FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
-best AS (SELECT doc_id, item_id, list_max(list_transform(range(1, len(bw) - least(13, len(bw)) + 2), lambda s: list_sum(list_slice(e, s, s + least(13, len(bw)) - 1)))) / CAST(least(13, len(bw)) AS DOUBLE) AS share FROM eq),
-ok AS (SELECT doc_id, count(DISTINCT item_id) AS n, min(item_id) AS first_item FROM best WHERE share >= 0.8::DOUBLE GROUP BY doc_id)
+n AS (SELECT *, row_number() OVER (ORDER BY item_id, w) AS bid, least(13, len(w)) AS width FROM b WHERE len(w) > 0),
+dp AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM d),
+bp AS (SELECT bid, unnest(w) AS t, unnest(range(len(w))) AS j FROM n),
+e AS (SELECT doc_id, bid, count(*) OVER (PARTITION BY doc_id, bid, i - j ORDER BY j RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS e FROM dp JOIN bp USING (t)),
+ok AS (SELECT doc_id, count(DISTINCT item_id) AS n, min(item_id) AS first_item FROM e JOIN n USING (bid) WHERE e / CAST(width AS DOUBLE) >= 0.8::DOUBLE GROUP BY doc_id)
 SELECT doc_id, ok.n IS NOT NULL AS contaminated, coalesce(ok.n, 0) AS n_items, ok.first_item FROM d LEFT JOIN ok USING (doc_id)""",
     "op7_source_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(text, '')) AS name FROM documents),

@@ -412,7 +412,7 @@ def repeated_windows(docs: DataFrame, spec: Spec, finish: Callable, schema: str,
 
     # As many tasks as blocks and buckets, so that a task's share stays the same at any size.
     tasks = {"block": min(parts, MOST_TASKS), "bucket": min(buckets, MOST_TASKS)}
-    dealt = lambda df, by: df.repartition(tasks[by], by).groupBy(by)
+    dealt = lambda df, by: df.repartitionById(tasks[by], F.col(by)).groupBy(by)
     sent = own.select("did", "k", "text", "block").mapInArrow(send, ROW)
     first = materialize(dealt(sent, "bucket").applyInArrow(settled, ROW), "settled")
     slices = dealt(own, "block").cogroup(dealt(first.filter("kind = 2"), "block")).applyInArrow(handed, ROW)

@@ -358,9 +358,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
 
 
 def score_documents(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` with score and predicted (columns of these names are replaced)."""
+    """All columns of ``docs`` with score and predicted (columns of these names come out as score_input, predicted_input)."""
     tune(docs.sparkSession)
-    own = docs.drop("score", "predicted")
+    own = docs.withColumnsRenamed({c: f"{c}_input" for c in ("score", "predicted") if c in docs.columns})
     at = own.columns.index("text")
 
     def run(batches):

@@ -229,11 +229,11 @@ def test_quality(docs, empty):
     held = {}
     for d, t, _, s, *_ in rows:
         for line in (t or "").split("\n"):
-            if len(words(line)) >= 3:
+            if words(line):
                 held.setdefault((s, norm(line)), set()).add(d if d is not None else (t,))
-    for v in quality.line_verdicts(docs, max_docs=1).collect():
+    for v in quality.line_verdicts(docs, max_share=0.0, least_docs=1).collect():
         t, s = next((r[1], r[3]) for r in rows if r[0] == v.doc_id and len(words(r[1])) == v.n_words)
-        gone = sum(len(words(line)) for line in (t or "").split("\n") if len(held.get((s, norm(line)), ())) > 1 and len(words(line)) >= 3)
+        gone = sum(len(words(line)) for line in (t or "").split("\n") if len(held.get((s, norm(line)), ())) > 1)
         grams = [tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)]
         again = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)} if len(grams) < 2000 else set()
         assert v.n_removed_words == gone and v.n_repeat_words == len(again)
@@ -246,7 +246,8 @@ def test_quality(docs, empty):
 def test_quality_lines_go(spark):
     rows = [(i, f"Shared line {i % 10} number here\nown {' '.join(VOCABULARY[i : i + 12])}", "h") for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = quality.clean_documents(df, max_docs=3).collect()
+    got = quality.clean_documents(df.withColumns({"k": F.lit(1), "removed": F.lit(2), "q_own": F.lit(3), "row": F.lit(4)}), least_docs=3).collect()
+    assert all((r.k, r.removed, r.q_own, r.row) == (1, 2, 3, 4) for r in got)
     assert len(got) == 6 and all(r.text.startswith("own ") for r in got)
     assert quality.base_figures(b"#a b\n#a b\n\nc $", b"#a b #a b c $".split()) == (6, 8, 3, 1, 0)
 
@@ -302,6 +303,8 @@ def test_decontaminate(spark, docs, empty):
     assert got[100].items == [1] and got[101].items == [1] and got[102].items == [] and got[103].items == []
     brute = {d for d, t, *_ in corpus_rows() if t and PASSAGE in t}
     assert {d for d, r in got.items() if r.items != [] and d not in (None, 100, 101)} == brute - {None}
+    clash = own.withColumns({"b_key": F.lit(1), "k": F.lit(2), "h_id": F.lit(3), "row": F.lit(4), "hits": F.lit(5)})
+    assert {r.doc_id for r in decontaminate.decontaminate(clash, bench).collect()} == {r.doc_id for r in decontaminate.decontaminate(own, bench).collect()}
     kept = decontaminate.decontaminate(own, bench)
     assert kept.count() == own.count() - 2 - sum(1 for r in corpus_rows() if r[1] and PASSAGE in r[1])
     assert decontaminate.overlaps(empty, bench).collect() == [] and decontaminate.decontaminate(own, bench.limit(0)).count() == own.count()
@@ -552,10 +555,106 @@ def test_decontaminate_without_seeds(spark):
     assert got == {i: [n] if brute(n, hidden) else [] for i, _, n, hidden in rows}
 
 
+def test_decontaminate_salted(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(7, PASSAGE), (8, PASSAGE[:40])], "item_id long, text string")
+    plain = sorted(map(str, decontaminate.overlaps(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", -1)
+    monkeypatch.setattr(decontaminate, "VOCABULARY", 3)
+    assert sorted(map(str, decontaminate.overlaps(docs, bench).collect())) == plain
+
+
+def test_decontaminate_recall(spark):
+    """Random passages of items with words replaced, inside prose, against an aligner that compares all places."""
+    rng = random.Random(9)
+    bench = [[rng.choice(VOCABULARY[:60]) for _ in range(rng.randint(3, 40))] for _ in range(25)]
+    rows = []
+    for i in range(300):
+        own = rng.choice(bench)
+        a = rng.randrange(len(own))
+        part = [w if rng.random() > 0.17 else rng.choice(VOCABULARY[:60]) for w in own[a : a + rng.randint(3, 40)]]
+        rows.append((i, [rng.choice(VOCABULARY[:60]) for _ in range(rng.randint(0, 30))] + part + [rng.choice(VOCABULARY[:60]) for _ in range(rng.randint(0, 9))]))
+
+    def brute(doc, item):
+        width, best = min(13, len(item)), 0
+        for d in range(-len(item), len(doc)):
+            equal = [0 <= d + j < len(doc) and doc[d + j] == w for j, w in enumerate(item)]
+            best = max(best, max(sum(equal[s : s + width]) for s in range(len(item) - width + 1)) / width)
+        return best >= 0.8
+
+    want = {i: [n for n, item in enumerate(bench) if brute(doc, item)] for i, doc in rows}
+    asked = spark.createDataFrame([(i, " ".join(d)) for i, d in rows], "doc_id long, text string")
+    got = decontaminate.overlaps(asked, spark.createDataFrame([(n, " ".join(b)) for n, b in enumerate(bench)], "item_id long, text string")).collect()
+    got = {r.doc_id: r["items"] for r in got}
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {} and sum(map(bool, want.values())) > 50
+
+
+def plain_counts(text):
+    """The n-gram counts once more, letter by letter."""
+    keep, low = [], (text or "").lower()
+    for i, c in enumerate(low):
+        if c.isalpha():
+            keep.append(ord(c))
+        elif i and low[i - 1].isalpha():
+            keep.append(0)
+    s, out, full = [0, *keep, 0], Counter(), 0xFFFFFFFF
+    k = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D]
+    one = [c * k[0] & full for c in s]
+    two = [((a ^ a >> 15) * k[1] + c * k[2]) & full for a, c in zip(one, s[1:])]
+    three = [((a ^ a >> 13) * k[2] + b) & full for a, b in zip(two, one[2:])]
+    for h in one[1:-1] + two + three:
+        out[((h ^ h >> 16) * k[1] & full) >> 20] += 1
+    return out if any(keep) else None
+
+
+def test_language_by_hand(spark):
+    """Predictions against a plain cosine of plain counts; ties, repeated rows, a very long text."""
+    import math
+
+    rng = random.Random(12)
+    make = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(n))
+    kinds = {"aa": "abcdeé", "bb": "cdefgh", "cc": "ghijßk"}
+    rows = [(i, make(kinds[lang], rng.randint(3, 60)), lang) for i, lang in enumerate([*kinds] * 30)]
+    rows += rows[:2] + [(200, make("abcdeé", 40_000), "aa"), (201, "Ab1 c-d", "bb"), (202, "", "aa"), (203, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, per_language=20)
+    df_of, n = Counter(), 0
+    for _, t, lang in rows:
+        c = plain_counts(t) if lang else None
+        if c is not None:
+            n += 1
+            df_of.update(c.keys())
+    idf = [math.log((n + 1) / (df_of[j] + 1)) + 1 for j in range(language.DIM)]
+    assert max(abs(a - b) for a, b in zip(idf, model["idf"])) < 1e-5
+    for r in language.identify(df, model).collect():
+        c = plain_counts(next(t for i, t, _ in rows if i == r.doc_id))
+        if c is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = {j: math.log1p(x) * idf[j] for j, x in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x / size * m[j] for j, x in v.items()) for m in model["centers"]]
+        assert abs(r.score - max(cos)) < 1e-4
+        near = {model["langs"][j] for j, x in enumerate(cos) if x >= max(cos) - 1e-5}
+        assert r.lang_pred in near
+    twin = model | {"langs": ["zz", "yy"], "centers": np.stack([model["centers"][0]] * 2), "limits": model["limits"][:2]}
+    assert {r.lang_pred for r in language.identify(df.filter("doc_id < 9"), twin).collect()} == {"zz"}  # ties: the first centroid
+
+
+def test_mixing_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 5, "m", 1), (None, None, None, 6, "n", 2), (2, "", "t", 7, "o", 3)], "doc_id long, text string, source string, copy int, mix_size string, mix_plan int")
+    got = mixing.mix_documents(df).collect()
+    assert got and all(r.copy_input in (5, 6, 7) and r.mix_size in "mno" and r["mix_plan"] in (1, 2, 3) for r in got)
+
+
 def test_quality_counts_short_lines(spark):
     rows = [(i, "Read more\nMenu\n" + ("Contact us\n" * 5 if i == 0 else " ".join(f"u{i}x{j}" for j in range(12))), "h") for i in range(50)]
     rows += [(50 + i, "Contact us\n" * 6 + "Read more", "h") for i in range(45)]
-    got = {r.doc_id: r for r in quality.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.line_verdicts(df, least_docs=40).collect()}
+    from unittest import mock
+
+    with mock.patch.object(quality, "BROADCAST_LINES", -1):
+        assert sorted(map(str, quality.line_verdicts(df, least_docs=40).collect())) == sorted(map(str, got.values()))
     assert got[1].removed == [0, 1] and got[1].n_removed_words == 3 and got[1].kept
     assert got[60].depleted and not got[60].kept
 
