@@ -87,3 +87,54 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
 def word_of(identifier: Column) -> Column:
     """What stands before the last hyphen of an id."""
     return F.regexp_extract(identifier, "^(.*)-[^-]*$", 1)
+
+
+# fixed values: names of the parts of speech
+POS_CODES = {"n": "n", "noun": "n", "v": "v", "verb": "v", "a": "a,s", "s": "a,s", "adj": "a,s", "adjective": "a,s", "r": "r", "adv": "r", "adverb": "r"}
+#: Licenses by their address without scheme, www and final slash.
+LICENSE_NAMES = {"creativecommons.org/licenses/by/4.0": "Creative Commons Attribution 4.0 International (CC BY 4.0)"}
+
+
+def normalise_pos(c: Column) -> Column:
+    """Array of codes of a part of speech; empty for null, an error for an unknown name."""
+    name = F.lower(F.trim(c))
+    out = F.when(c.isNull(), F.array().cast("array<string>"))
+    for alias, codes in POS_CODES.items():
+        out = out.when(name == alias, F.array(*[F.lit(x) for x in codes.split(",")]))
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown part of speech "), c)).cast("array<string>"))
+
+
+def license_name(url: Column) -> Column:
+    """Label of a license address, else the address itself, else unknown."""
+    bare = F.rtrim(F.regexp_replace(F.coalesce(url, F.lit("")), r"^https?://(www\.)?", ""), F.lit("/"))
+    out = F.when(F.coalesce(url, F.lit("")) == "", "unknown")
+    for address, label in LICENSE_NAMES.items():
+        out = out.when(bare == address, label)
+    return out.otherwise(url)
+
+
+def edge_strip(c: Column) -> Column:
+    """A word without the runs of other characters before and behind it."""
+    inner = r"[\p{L}\p{M}\p{N}_]"
+    first = F.regexp_extract(c, rf"({inner}.*)$", 1)
+    return F.regexp_extract(first, rf"^(.*{inner})", 1)
+
+
+def word_shape(c: Column) -> Column:
+    """Whether a text is one or more words: letters first, joined by blanks, apostrophes, stops or hyphens."""
+    letter = r"[\p{L}\p{Nl}\p{No}]"
+    return c.rlike(rf"^{letter}[\p{{L}}\p{{M}}\p{{Nl}}\p{{No}}]*([ '’.-]+{letter}+)*\.?$")
+
+
+def sentence_around(text: Column, offset: Column) -> Column:
+    """The sentence that holds a character offset: it ends at . ! ? unless a lower-case letter follows (past closing
+    quotes, brackets and blanks), or at a blank line; squashed, without quotes around it; empty for an empty text."""
+    n = F.length(text)
+    at = F.least(F.greatest(offset, F.lit(0)), n - 1)
+    # Every end is marked behind its character, so that offsets can be counted without the marks.
+    marked = F.regexp_replace(text, r"([.!?])(?![\"”’)]*[ \n]*\p{Ll})|(\n)(?=\n)", "$1$2\u0001")
+    parts = F.split(marked, "\u0001", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x)))
+    place = F.size(F.filter(ends, lambda e: e <= at))
+    said = F.regexp_replace(F.coalesce(F.get(parts, F.least(place, F.size(parts) - 1)), F.lit("")), r"\s+", " ")
+    return F.when(n > 0, F.trim(said, F.lit(' "“”'))).otherwise(F.lit(""))

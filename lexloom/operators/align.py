@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.rules import CONTEXT_CAP, CONTEXT_FACTOR, HOOD, MARGIN, MIN_GROUP, MIN_SCORE, PHRASE_FACTOR, UPSET
 
+# fixed values: words of a list that is long, and what it must share per word with its only meaning
+LONG_GROUP, LONG_SHARE = 10, 0.3
+
 
 def decide(scores: DataFrame) -> DataFrame:
     """(group, target, score, part, ord) to one row per group: target, score, second and the verdict.
@@ -36,7 +39,7 @@ def neighbourhood(members: DataFrame, definitions: DataFrame, edges: DataFrame,
     near = edges.select(F.col("src").alias("near"), weight.alias("w"), F.col("dst").alias("synset")).filter("w is not null")
     near = near.join(members, "synset").select(F.col("near").alias("synset"), "key", "w")
     full = members.select("synset", "key", F.lit(HOOD["member"]).alias("w")).union(near)
-    parts = full.filter(F.col("key").contains(" ")).select("synset", F.explode(F.split("key", " ")).alias("key"), (F.col("w") * PHRASE_FACTOR).alias("w"))
+    parts = full.filter(F.col("key").rlike("[ -]")).select("synset", F.explode(F.split("key", "[ -]+")).alias("key"), (F.col("w") * PHRASE_FACTOR).alias("w")).filter("key != ''")
     parts = parts.join(stop.select("key"), "key", "left_anti").select("synset", "key", "w")
     ways = full.union(parts).union(definitions.select("synset", "key", F.lit(HOOD["definition"]).alias("w")))
     return ways.groupBy("synset", "key").agg(F.max("w").alias("w"))
@@ -75,3 +78,49 @@ def keeps(words: DataFrame) -> DataFrame:
     all_known = F.sum(F.when(known & (F.col("relation") != "member"), 1).otherwise(0)).over(by)
     is_list = F.coalesce(F.lower("label").contains("list"), F.lit(False)) | ((loose >= 3) & (loose * 2 >= all_known))
     return words.withColumn("kept", close | (~known & ~is_list))
+
+
+def align_scores(groups: DataFrame, candidates: DataFrame, hood: DataFrame, keys: DataFrame, stop: DataFrame) -> DataFrame:
+    """(group, target, score, part, ord) of word groups against the meanings of their headwords, for ``decide``.
+
+    ``groups`` (group, role, key) with role group, context or name; ``candidates`` (group, target, ord, head): the key of
+    the headword, which with its parts says nothing; ``hood`` (synset, key, w); ``keys`` (word, key): lemma keys.  A word
+    counts by its own key, else a phrase by its best part, half, else a word by its best lemma key.
+    """
+    asked = groups.select("group", "role", "key").distinct()
+    word = asked.select(F.col("key").alias("word")).distinct()
+    parts = F.filter(F.split("word", "[ -]+"), lambda t: t != "")
+    split = word.select("word", F.explode(parts).alias("piece")).join(stop.select(F.col("key").alias("piece")), "piece", "left_anti")
+    many = split.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("word")
+    pieces = split.join(many, "word", "left_semi").select("word", "piece", F.lit(PHRASE_FACTOR).alias("factor"))
+    pieces = pieces.union(word.join(many, "word", "left_anti").select("word", F.col("word").alias("piece"), F.lit(1.0)))
+    lemma = keys.select(F.col("word").alias("piece"), F.col("key").alias("probe"))
+    later = pieces.join(lemma, "piece", "left").select("word", F.coalesce("probe", "piece").alias("probe"), "factor", F.lit(1).alias("way"))
+    probes = later.union(word.select("word", F.col("word").alias("probe"), F.lit(1.0), F.lit(0))).distinct()
+    own_parts = F.array_union(F.array("head"), F.filter(F.split("head", "[ -]+"), lambda t: t != ""))
+    around = candidates.withColumn("own", own_parts).join(hood.withColumnRenamed("synset", "target"), "target").filter(~F.array_contains("own", F.col("key"))).select("group", "target", F.col("key").alias("probe"), "w")
+    # The role "name" is looked up as it is.
+    said = asked.filter("role != 'name'").select("group", "role", F.col("key").alias("word")).join(candidates.select("group", F.col("head").alias("word")).distinct(), ["group", "word"], "left_anti")
+    found = said.join(probes, "word").join(around, ["group", "probe"]).groupBy("group", "target", "role", "word").agg(F.max(F.when(F.col("way") == 0, F.col("w"))).alias("exact"), F.max(F.col("w") * F.col("factor")).alias("best"))
+    found = found.select("group", "target", "role", F.coalesce("exact", "best").alias("v"))
+    named = asked.filter("role = 'name'").select("group", F.col("key").alias("probe")).join(around, ["group", "probe"]).groupBy("group", "target").agg(F.max("w").alias("v"))
+    found = found.union(named.select("group", "target", F.lit("name"), "v"))
+    of = lambda role: F.sum(F.when(F.col("role") == role, F.col("v")).otherwise(0.0))
+    sums = found.groupBy("group", "target").agg(F.round(of("group"), 6).alias("part"), F.round(of("context") + of("name"), 6).alias("extra"))
+    out = candidates.select("group", "target", "ord").join(sums, ["group", "target"], "left").na.fill(0.0, ["part", "extra"])
+    return out.select("group", "target", F.round(F.col("part") + F.least(F.lit(CONTEXT_CAP), F.lit(CONTEXT_FACTOR) * F.col("extra")), 4).alias("score"), "part", "ord")
+
+
+def verdicts(groups: DataFrame, scores: DataFrame, usable: DataFrame | None = None) -> DataFrame:
+    """(group, target, score, second, part, verdict): ``decide`` for every group, those without a meaning included.
+
+    With ``usable`` (group, n): a long list with a single meaning and little in common with it is a long_group.
+    """
+    done = decide(scores).withColumn("second", F.coalesce("second", F.lit(0.0)))
+    out = groups.select("group").distinct().join(done, "group", "left").withColumn("verdict", F.coalesce("verdict", F.lit("no_wordnet_entry")))
+    out = out.join(scores.select("group", "target", "part"), ["group", "target"], "left")
+    if usable is not None:
+        out = out.join(usable.select("group", "n"), "group", "left")
+        long_list = (F.col("verdict") == "aligned") & (F.col("second") == 0) & (F.col("n") >= LONG_GROUP) & (F.col("part") < F.lit(LONG_SHARE) * F.col("n"))
+        out = out.withColumn("verdict", F.when(long_list, "long_group").otherwise(F.col("verdict")))
+    return out.select("group", "target", "score", "second", "part", "verdict")

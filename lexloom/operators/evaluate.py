@@ -15,17 +15,34 @@ def accuracy(hits: DataFrame, by: list[str], hit: Column) -> DataFrame:
 
 
 def exclusive_quantile(values: DataFrame, by: list[str], column: str, q: int, parts: int = 10) -> DataFrame:
-    """(by, value): q-th of ``parts`` cut points by the exclusive method, at rank q (n + 1) / parts, interpolated."""
+    """(by, value): q-th of ``parts`` cut points by the exclusive method, at rank q (n + 1) / parts, interpolated.
+
+    Equal values are counted first, so a group's window runs over its distinct values, not its rows.
+    """
+    counted = values.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*by)
-    own = values.filter(F.col(column).isNotNull())
-    ranked = own.withColumn("r", F.row_number().over(w.orderBy(column))).withColumn("n", F.count(F.lit(1)).over(w))
+    ranked = counted.withColumn("upto", F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
     at = F.col("n") + 1
     low = F.least(F.greatest(F.floor(at * q / parts), F.lit(1)), F.col("n") - 1).cast("long")
     ranked = ranked.withColumn("j", low).withColumn("delta", F.col("n") * q + q - low * parts)
-    two = ranked.filter("r = j or r = j + 1").groupBy(*by).agg(F.max(F.when(F.col("r") == F.col("j"), F.col(column))).alias("a"), F.max(F.when(F.col("r") == F.col("j") + 1, F.col(column))).alias("b"), F.first("delta").alias("delta"))
+    holds = lambda r: F.when((F.col("upto") >= r) & (F.col("upto") - F.col("c") < r), F.col("x"))
+    two = ranked.groupBy(*by).agg(F.max(holds(F.col("j"))).alias("a"), F.max(holds(F.col("j") + 1)).alias("b"), F.max("delta").alias("delta"))
     return two.select(*by, ((F.col("a") * (parts - F.col("delta")) + F.col("b") * F.col("delta")) / parts).alias("value"))
 
 
+def summary(values: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, n, mean, median, p90, top): the figures of a latency report."""
+    plain = values.filter(F.col(column).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.max(column).alias("top"))
+    for name, q, parts in (("median", 1, 2), ("p90", 9, 10)):
+        plain = plain.join(exclusive_quantile(values, by, column, q, parts).withColumnRenamed("value", name), by)
+    return plain.select(*by, "n", "mean", "median", "p90", "top")
+
+
+def unseen(items: DataFrame, seen: DataFrame, column: str = "word") -> DataFrame:
+    """The rows of ``items`` whose word no row of ``seen`` has."""
+    return items.join(seen.select(column).distinct(), column, "left_anti")
+
+
 def gold_rank(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """(qid, gold_place, top1, top3): the best place of a right meaning; (qid, place, synset) against (qid, synset), several may be right."""
     items = gold.select("qid").distinct()

@@ -5,36 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import sound_key
+from lexloom.functions.text import lookup_key, sound_key
 
 
 def completions(queries: DataFrame, vocabulary: DataFrame, keep: int = 8) -> DataFrame:
-    """(query, key, place): keys that begin with the query, shortest first.  Joined on the first letters of the query."""
-    q = queries.select("query").distinct()
-    width = 2
-    q = q.withColumn("block", F.left("query", F.lit(width)))
-    v = vocabulary.select("key").distinct().withColumn("block", F.left("key", F.lit(width)))
+    """(query, key, place): keys that begin with the query, shortest first; an empty query has none.
+
+    Joined on the first letters of the query: one for queries of one letter, else two.
+    """
+    q = queries.select("query").distinct().filter("query != ''").withColumn("block", F.left("query", F.lit(2)))
+    heads = F.array_distinct(F.array(F.left("key", F.lit(1)), F.left("key", F.lit(2))))
+    v = vocabulary.select("key").distinct().select("key", F.explode(heads).alias("block"))
     found = q.join(v, "block").filter(F.col("key").startswith(F.col("query")))
     by = Window.partitionBy("query").orderBy(F.length("key"), "key")
     return found.select("query", "key", F.row_number().over(by).alias("place")).filter(F.col("place") <= keep)
 
 
+def _deletions(word, most):
+    """Explodes to the words left when up to ``most`` (0, 1 or 2) letters go, besides the word itself."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, F.length(w))))
+    first = F.when(F.length(word) > 0, one(word)).otherwise(F.array().cast("array<string>"))
+    second = F.flatten(F.transform(F.filter(first, lambda w: F.length(w) > 0), one))
+    return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, first).otherwise(F.array().cast("array<string>")), F.when(most >= 2, second).otherwise(F.array().cast("array<string>"))))
+
+
 def suggestions(queries: DataFrame, vocabulary: DataFrame, keep: int = 5) -> DataFrame:
-    """(query, key, place): keys of the same sound, then keys with the same first letter, near length and few edits."""
+    """(query, key, place): keys of the same sound, then keys with the same first letter, near length and few edits.
+
+    Two words within one or two edits share a word that deletions make of both, so those are joined on, and only pairs
+    that share one are measured.  Longer queries (nine letters and more) may differ in three places and more; their
+    pairs are those of the same first letter and near length.
+    """
     q = queries.select("query").distinct().filter("query != ''")
     v = vocabulary.select("key").distinct()
     distance = F.levenshtein("query", "key")
     alike = q.withColumn("sound", sound_key(F.col("query"))).join(v.withColumn("sound", sound_key(F.col("key"))), "sound").filter("sound != ''")
     alike = alike.select("query", "key", F.lit(0).alias("kind"), distance.alias("d"), F.length("key").alias("n"))
-    lengths = F.explode(F.sequence(F.length("query") - 2, F.length("query") + 2)).alias("n")
-    near = q.select("query", F.left("query", F.lit(1)).alias("head"), lengths).join(v.select("key", F.left("key", F.lit(1)).alias("head"), F.length("key").alias("n")), ["head", "n"])
     most = F.greatest(F.lit(1), F.floor(F.length("query") / 3))
-    near = near.select("query", "key", F.lit(1).alias("kind"), distance.alias("d"), F.lit(0).alias("n"), most.alias("most")).filter("d <= most").drop("most")
+    few, many = q.filter(most <= 2), q.filter(most > 2)
+    by_cut = few.select("query", F.explode(_deletions(F.col("query"), most)).alias("cut")).join(v.select("key", F.explode(_deletions(F.col("key"), F.lit(2))).alias("cut")), "cut").select("query", "key").distinct()
+    lengths = F.explode(F.sequence(F.length("query") - 2, F.length("query") + 2)).alias("n")
+    by_length = many.select("query", F.left("query", F.lit(1)).alias("head"), lengths).join(v.select("key", F.left("key", F.lit(1)).alias("head"), F.length("key").alias("n")), ["head", "n"]).select("query", "key")
+    near = by_cut.union(by_length).filter((F.left("query", F.lit(1)) == F.left("key", F.lit(1))) & (F.abs(F.length("query") - F.length("key")) <= 2))
+    near = near.select("query", "key", F.lit(1).alias("kind"), F.levenshtein("query", "key").alias("d"), F.lit(0).alias("n"), most.alias("most")).filter("d <= most").drop("most")
     ways = alike.union(near).filter("key != query").groupBy("query", "key").agg(F.min(F.struct("kind", "d", "n")).alias("rank"))
     by = Window.partitionBy("query").orderBy("rank.kind", "rank.d", "rank.n", "key")
     return ways.select("query", "key", F.row_number().over(by).alias("place")).filter(F.col("place") <= keep)
 
 
+def look_up(words: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(word, key, found, meanings, said): the entry of a word: its number of meanings and its pronunciation, by serving tables."""
+    own = words.select("word").distinct().withColumn("key", lookup_key(F.col("word")))
+    n = tables["entry"].groupBy("key").agg(F.count(F.lit(1)).alias("meanings"))
+    out = own.join(n, "key", "left").join(tables["ipa"].select("key", F.col("ipa").alias("said")), "key", "left")
+    return out.select("word", "key", F.col("meanings").isNotNull().alias("found"), F.coalesce("meanings", F.lit(0)).alias("meanings"), "said")
+
+
 def results(queries: DataFrame, vocabulary: DataFrame, keep_completions: int = 8, keep_suggestions: int = 5) -> DataFrame:
     """(query, key, kind, place): the exact key, or suggestions without one, then completions; every key once."""
     q, v = queries.select("query").distinct(), vocabulary.select("key").distinct()

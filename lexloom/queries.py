@@ -33,8 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """A table that arrives in fewer parts than there are cores (one small file) is dealt out before costly expressions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    small = sum(_sizes(spark, df.inputFiles())) < spark.sparkContext.defaultParallelism * (128 << 20)
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
+
+
+def _sizes(spark: SparkSession, files: list[str]) -> list[int]:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files[:10_000]]
+    return [p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths]
 
 
 #: Stop list of the demonstration queries; real ones are a table.
@@ -57,8 +64,7 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: keys of the documents by document frequency."""
-    docs = table(spark, sf_dir, "documents")
-    return features.document_frequency(content(spark, sf_dir), docs.count())
+    return features.document_frequency(content(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 @register(f"SELECT p_partkey, {_KEY.format('p_name')} AS key FROM part")
@@ -79,7 +85,7 @@ def stop_filtered_tokens(spark, sf_dir):
 
 @register(f"WITH {_CONTENT}, n AS (SELECT count(*) AS n FROM documents) SELECT key, count(*) AS df, CAST(floor((ln((any_value(n) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE) * 10000 + 0.5::DOUBLE) AS BIGINT) AS idf4 FROM content, n GROUP BY key HAVING count(*) >= 2")
 def doc_freq_idf(spark, sf_dir):
-    return features.document_frequency(content(spark, sf_dir), table(spark, sf_dir, "documents").count())
+    return features.document_frequency(content(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 @register(f"WITH {_CONTENT} SELECT id, key, w, size, rank FROM (SELECT id, key, tf * 10 AS w, count(*) OVER (PARTITION BY id) AS size, row_number() OVER (PARTITION BY id ORDER BY tf DESC, key DESC) AS rank FROM content) WHERE rank <= 60")
@@ -89,14 +95,14 @@ def signature_top60(spark, sf_dir):
 
 
 @register(
-    f"""WITH {_CONTENT}, df AS (SELECT key FROM content GROUP BY key HAVING count(*) BETWEEN 2 AND 30),
+    f"""WITH {_CONTENT},
 ctok AS (SELECT conv_id, {_KEY.format("token")} AS key FROM (SELECT conv_id, unnest({_TOKENS.format("text")}) AS token FROM conversations)),
 cw AS (SELECT conv_id, key, count(*) AS cw FROM ctok GROUP BY conv_id, key),
-dot AS (SELECT conv_id, id, CAST(sum(cw * tf) AS BIGINT) AS dot FROM cw JOIN content USING (key) JOIN df USING (key) GROUP BY conv_id, id)
+dot AS (SELECT conv_id, id, CAST(sum(cw * tf) AS BIGINT) AS dot FROM cw JOIN content USING (key) GROUP BY conv_id, id)
 SELECT conv_id, id, dot, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY dot DESC, id) AS rank FROM dot) WHERE rank <= 3"""
 )
 def sparse_dot(spark, sf_dir):
-    """The three documents with the highest dot product per conversation, over all content keys; the SQL knows only keys of 2 to 30 documents."""
+    """The three documents with the highest dot product per conversation, over all content keys."""
     conv = features.keys(table(spark, sf_dir, "conversations"), "conv_id").groupBy("id", "key").agg(F.count(F.lit(1)).alias("w"))
     docs = content(spark, sf_dir).select("id", "key", F.col("tf").alias("w"))
     return features.top_products(conv, docs, 3).select(F.col("l_id").alias("conv_id"), F.col("r_id").alias("id"), "dot", "rank")
@@ -138,7 +144,7 @@ def decide_best(spark, sf_dir):
 
 
 _EDGES = """edges AS (SELECT 'N' || n_nationkey AS src, 'hypernym' AS rel, 'R' || n_regionkey AS dst FROM nation UNION ALL SELECT 'R' || n_regionkey, 'hyponym', 'N' || n_nationkey FROM nation
-UNION ALL SELECT 'S' || s_suppkey, 'similar', 'N' || s_nationkey FROM supplier WHERE s_suppkey <= 100 UNION ALL SELECT 'N' || s_nationkey, 'similar', 'S' || s_suppkey FROM supplier WHERE s_suppkey <= 100)"""
+UNION ALL SELECT 'S' || s_suppkey, 'similar', 'N' || s_nationkey FROM supplier UNION ALL SELECT 'N' || s_nationkey, 'similar', 'S' || s_suppkey FROM supplier)"""
 
 
 @register(
@@ -307,7 +313,7 @@ def exclusive_p90(spark, sf_dir):
 
 
 @register(
-    r"""WITH l AS (SELECT doc_id AS id, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 1 = 0)),
+    r"""WITH l AS (SELECT doc_id AS id, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 p AS (SELECT id, line, text, sum(CASE WHEN regexp_matches(text, '^[^ ]+\.$') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line) AS par FROM l),
 h AS (SELECT *, last_value(CASE WHEN regexp_matches(text, '^[^ ]+\.$') THEN text END IGNORE NULLS) OVER (PARTITION BY id ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM p)
 SELECT id, CAST(par AS BIGINT) AS par, section, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM h GROUP BY id, par, section"""

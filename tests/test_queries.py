@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexloom import queries
+from lexloom import lexicon_queries, queries  # noqa: F401 (registers its queries)
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
