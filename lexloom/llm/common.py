@@ -66,14 +66,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the intermediate tables written so far but for the last ``keep``; frames that read them end with it."""
-    jvm = spark.sparkContext._jvm
-    cut = max(0, len(_written) - keep)
-    for path in _written[:cut]:
+def written() -> int:
+    """A mark for ``release``: how many intermediate tables there are so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the intermediate tables written after the mark ``since`` but for the last ``keep``; frames that read them end with it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    cut = max(since, len(_written) - keep)
+    for path in _written[since:cut]:
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    del _written[:cut]
+        p.getFileSystem(conf).delete(p, True)
+    del _written[since:cut]
 
 
 def boxed(docs: DataFrame) -> DataFrame:

@@ -558,6 +558,8 @@ def test_decontaminate_without_seeds(spark):
 def test_decontaminate_salted(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(7, PASSAGE), (8, PASSAGE[:40])], "item_id long, text string")
     plain = sorted(map(str, decontaminate.overlaps(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "KNOWN_SEEDS", -1)
+    assert sorted(map(str, decontaminate.overlaps(docs, bench).collect())) == plain
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", -1)
     monkeypatch.setattr(decontaminate, "VOCABULARY", 3)
     assert sorted(map(str, decontaminate.overlaps(docs, bench).collect())) == plain
