@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as fn
 from lexloom.operators import features, graph, lexicon, vocabulary
-from lexloom.plans import sample, serving
+from lexloom.plans import assembly, sample, serving
 from lexloom.queries import STOP, _KEY, _TOKENS, register, stop_table, table
 
 _LEX = f"WITH {sample.SQL}"
@@ -349,3 +349,77 @@ def serving_ipa(spark, sf_dir):
 @register("SELECT * FROM (VALUES ('clue_share', '0.12'), ('dist_decay', '0.04'), ('indirect', '0.35'), ('indirect_max', '2.0'), ('min_clue', '0.8'), ('pos_bonus', '4.0'), ('pos_other', '0.5'), ('prior', '2.0'), ('schema_version', '1'), ('sig_ref', '150'), ('words_generic', 'door')) t(key, value)")
 def serving_meta(spark, sf_dir):
     return serving.meta_table(spark, {"generic": ["door"]})
+
+
+# ---- alignment of old books to the sample lexicon
+
+def book_base(spark, sf_dir):
+    t, stop = sample.lexicon(spark, sf_dir), stops(spark)
+    d, _, _ = serving.glosses(t, stop)
+    return assembly.base(t, stop, d, sample.unfit(t)[1])
+
+
+def book_records(spark, sf_dir):
+    """One record per part: its word, and as synonyms its name, the word of a similar part and the name of its hypernym."""
+    t = sample.lexicon(spark, sf_dir)
+    w = t["senses"].filter("member_rank = 1").select(F.substring("synset_id", 2, 20).cast("long").alias("k"), F.col("lemma").alias("word"), graph.folded(F.col("pos")).alias("pos"), "synset_id")
+    w = w.join(t["senses"].filter("member_rank = 2").select("synset_id", F.col("lemma").alias("name")), "synset_id").drop("synset_id")
+    near = w.select((F.col("k") + 1).alias("k"), F.col("word").alias("near"))
+    up = w.select(F.col("k").alias("up_k"), F.col("name").alias("up"))
+    rows = w.join(near, "k", "left").join(up, F.floor(F.col("k") / 10) == F.col("up_k"), "left")
+    pos = F.when(F.col("k") % 17 == 0, "prep").when(F.col("k") % 19 == 0, None).when(F.col("pos") == "a", "adj").otherwise(F.col("pos"))
+    labels = F.when(F.col("k") % 23 == 0, F.array(F.lit("Low."))).otherwise(F.array().cast("array<string>"))
+    sense = F.struct(F.lit(1).alias("n"), F.array_distinct(F.array_compact(F.array("name", "near", "up"))).alias("synonyms"), labels.alias("labels"))
+    return rows.select(F.col("word").alias("headword"), pos.alias("pos"), F.array(sense).alias("senses"), F.col("k").alias("line"))
+
+
+_HOOD = f"""mkey AS (SELECT DISTINCT synset_id AS synset, lemma AS key FROM senses), full_ AS (SELECT synset, key, 1.0::DOUBLE AS w FROM mkey UNION ALL SELECT src, key, CASE rel WHEN 'hyponym' THEN 0.4::DOUBLE WHEN 'hypernym' THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END FROM synset_relations JOIN mkey ON mkey.synset = dst WHERE rel IN ('hyponym', 'hypernym', 'also', 'similar')),
+hood AS (SELECT synset, key, max(w) AS w FROM (SELECT * FROM full_ UNION ALL SELECT synset, part, w * 0.5::DOUBLE FROM (SELECT synset, unnest(string_split(key, ' ')) AS part, w FROM full_ WHERE contains(key, ' ')) WHERE part NOT IN (SELECT key FROM stop) UNION ALL SELECT synset, key, 0.5::DOUBLE FROM def) GROUP BY 1, 2)"""
+_ALIGN = f"""rec AS (SELECT a.k, a.word AS head, CASE WHEN a.k % 17 = 0 THEN 'prep' WHEN a.k % 19 = 0 THEN NULL WHEN a.pos IN ('a', 's') THEN 'adj' ELSE a.pos END AS bpos, list_distinct(list_filter([a.name, n.word, u.name], lambda x: x IS NOT NULL)) AS words, a.k % 23 = 0 AS low FROM p a LEFT JOIN p n ON n.k = a.k - 1 LEFT JOIN p u ON u.k = a.k // 10),
+fitrec AS (SELECT *, CASE bpos WHEN 'adj' THEN 'a' ELSE bpos END AS pos FROM rec WHERE NOT low AND (bpos IS NULL OR bpos <> 'prep')), w AS (SELECT DISTINCT k, head, pos, unnest(words) AS word FROM fitrec),
+cnt AS (SELECT k, count(DISTINCT word) AS n FROM w WHERE word NOT IN (SELECT key FROM bad) AND word <> head GROUP BY k),
+cand AS (SELECT f.k, f.head, s.synset_id AS target, row_number() OVER (PARTITION BY f.k ORDER BY (CASE e.pos WHEN 'n' THEN 0 WHEN 'v' THEN 1 ELSE 2 END), e.id, s.rank) AS ord FROM fitrec f JOIN entries e ON e.lemma_key = f.head AND (f.pos IS NULL OR f.pos = CASE WHEN e.pos = 's' THEN 'a' ELSE e.pos END) JOIN senses s ON s.entry_id = e.id WHERE f.k IN (SELECT k FROM cnt)),
+hits AS (SELECT c.k, c.target, c.ord, w.word, max(CASE WHEN h.key = w.word THEN h.w END) AS exact, max(CASE WHEN h.key <> w.word THEN h.w * 0.5::DOUBLE END) AS part FROM cand c JOIN w ON w.k = c.k AND w.word <> c.head JOIN hood h ON h.synset = c.target AND h.key <> c.head AND (h.key = w.word OR (contains(w.word, ' ') AND list_contains(string_split(w.word, ' '), h.key))) GROUP BY 1, 2, 3, 4),
+sc AS (SELECT c.k, c.target, c.ord, round(coalesce(sum(coalesce(exact, part)), 0), 6) AS part FROM cand c LEFT JOIN hits USING (k, target, ord) GROUP BY 1, 2, 3),
+rk AS (SELECT *, round(part, 4) AS score, row_number() OVER (PARTITION BY k ORDER BY round(part, 4) DESC, ord) AS place FROM sc),
+ver AS (SELECT b.k, any_value(b.target) AS target, any_value(b.score) AS score, coalesce(max(CASE WHEN r.place = 2 THEN r.score END), 0) AS second, CASE WHEN any_value(b.score) < 1.0 OR any_value(b.part) < 0.4::DOUBLE THEN 'below_threshold' WHEN bool_or(r.place > 1 AND (b.score - r.score < 0.2::DOUBLE OR (r.ord < b.ord AND b.score < 1.5::DOUBLE * r.score))) THEN 'tie' ELSE 'aligned' END AS verdict FROM rk b JOIN rk r ON r.k = b.k WHERE b.place = 1 GROUP BY b.k)"""
+
+
+@register(f"{_LEX}, {_GLOSS}, {_HOOD} SELECT synset, key, w FROM hood")
+def meaning_hoods(spark, sf_dir):
+    return book_base(spark, sf_dir).hood
+
+
+@register(f"{_LEX}, {_GLOSS}, {_HOOD}, {_ALIGN} SELECT ver.k || '#1' AS ref, head AS headword, target AS synset, score, second, n AS n_words FROM ver JOIN rec USING (k) JOIN cnt USING (k) WHERE verdict = 'aligned'")
+def align_synonym_book(spark, sf_dir):
+    return assembly.align_synonyms(book_base(spark, sf_dir), book_records(spark, sf_dir), "old")["alignments"].drop("source")
+
+
+@register(
+    f"""{_LEX}, {_GLOSS}, {_HOOD}, {_ALIGN} SELECT ver.k || '#1' AS ref, head AS headword, bpos AS pos, verdict AS reason, target AS best, score FROM ver JOIN rec USING (k) WHERE verdict <> 'aligned'
+UNION ALL SELECT k || '#1', head, bpos, 'unsupported_pos', NULL, NULL FROM rec WHERE bpos = 'prep'"""
+)
+def unaligned_audit(spark, sf_dir):
+    return assembly.align_synonyms(book_base(spark, sf_dir), book_records(spark, sf_dir), "old")["unaligned"].select("ref", "headword", "pos", "reason", "best", "score")
+
+
+_BOOKSYN = f"""bs AS (SELECT target AS synset, word, max(score) AS score FROM ver JOIN w USING (k) JOIN synsets y ON y.id = target WHERE verdict = 'aligned' AND word <> head AND word NOT IN (SELECT key FROM bad) AND (contains(word, ' ') OR (word, CASE WHEN y.pos = 's' THEN 'a' ELSE y.pos END) IN (SELECT (lemma_key, CASE WHEN pos = 's' THEN 'a' ELSE pos END) FROM entries)) GROUP BY 1, 2)"""
+
+
+@register(
+    f"""{_LEX}, {_GLOSS}, {_HOOD}, {_ALIGN}, {_BOOKSYN} SELECT DISTINCT synset_id AS synset, lemma AS word, lemma AS key, 'base' AS source, 1.0::DOUBLE AS score FROM senses WHERE synset_id NOT IN (SELECT id FROM unfit) AND lemma NOT IN (SELECT key FROM bad)
+UNION ALL SELECT synset, word, word, 'old', score FROM bs WHERE synset NOT IN (SELECT id FROM unfit)"""
+)
+def integrated_synonyms(spark, sf_dir):
+    b = book_base(spark, sf_dir)
+    unfit, bad = sample.unfit(b.lexicon)
+    book = assembly.align_synonyms(b, book_records(spark, sf_dir), "old")["synonyms"]
+    return assembly.assemble(b, unfit.withColumn("reason", F.lit("offensive")), bad, [book], sample.SOURCE)["sense_synonyms"]
+
+
+@register(f"{_LEX} SELECT 'synset' AS kind, id AS key, 'offensive' AS reason FROM unfit UNION ALL SELECT 'word', key, 'blocklist' FROM bad")
+def children_filter(spark, sf_dir):
+    t = sample.lexicon(spark, sf_dir)
+    unfit, bad = sample.unfit(t)
+    b = assembly.Base(t, stops(spark), t["synsets"], bad)
+    return assembly.assemble(b, unfit.withColumn("reason", F.lit("offensive")), bad, [], sample.SOURCE)["kid_filter"]
