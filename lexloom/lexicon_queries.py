@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as fn
-from lexloom.operators import features, graph, lexicon, vocabulary
+from lexloom.operators import evaluate, features, graph, lexicon, picker, search, vocabulary
 from lexloom.plans import assembly, sample, serving
-from lexloom.queries import STOP, _KEY, _TOKENS, register, stop_table, table
+from lexloom.queries import STOP, register, stop_table, table
+from lexloom.sources import scratch, stores, synonymy, thesaurus
 
 _LEX = f"WITH {sample.SQL}"
 _STOP = ", ".join(f"('{w}')" for w in [*STOP, "a", "by"])
@@ -423,3 +427,214 @@ def children_filter(spark, sf_dir):
     unfit, bad = sample.unfit(t)
     b = assembly.Base(t, stops(spark), t["synsets"], bad)
     return assembly.assemble(b, unfit.withColumn("reason", F.lit("offensive")), bad, [], sample.SOURCE)["kid_filter"]
+
+
+# ---- the picker over generated sentences
+
+_SAID = "said AS (SELECT p.k AS qid, p.word AS target, 'zz saw ' || p.word || ' near ' || coalesce(n.name, 'nothing') || ' and ' || coalesce(u.word, 'less') || ' zz' AS sentence FROM p LEFT JOIN p n ON n.k = p.k + 1 LEFT JOIN p u ON u.k = p.k // 10)"
+
+
+def sentences(spark, sf_dir):
+    """One sentence per part, about its word, the name of the next part and the word of its hypernym."""
+    t = sample.lexicon(spark, sf_dir)
+    w = t["senses"].filter("member_rank = 1").select(F.substring("synset_id", 2, 20).cast("long").alias("k"), F.col("lemma").alias("word"))
+    name = t["senses"].filter("member_rank = 2").select((F.substring("synset_id", 2, 20).cast("long") - 1).alias("k"), F.col("lemma").alias("name"))
+    up = w.select(F.col("k").alias("up"), F.col("word").alias("up_word"))
+    rows = w.join(name, "k", "left").join(up, F.floor(F.col("k") / 10) == F.col("up"), "left")
+    said = F.concat(F.lit("zz saw "), "word", F.lit(" near "), F.coalesce("name", F.lit("nothing")), F.lit(" and "), F.coalesce("up_word", F.lit("less")), F.lit(" zz"))
+    return rows.select(F.col("k").alias("qid"), said.alias("sentence"), F.col("word").alias("target"), F.lit(None).cast("int").alias("at"))
+
+
+@register(
+    f"""{_LEX}, {_FITSENSE}, {_GLOSS}, {_SIG}, {_SAID},
+v AS (SELECT synset, sg.key, round(-b[1] * idf, 6) AS v FROM sg JOIN idf ON idf.key = sg.key WHERE synset IN (SELECT synset FROM ent)),
+sig_ AS (SELECT synset, key, CAST(round(v * 100) AS BIGINT) / 100.0::DOUBLE AS w, size FROM (SELECT *, row_number() OVER (PARTITION BY synset ORDER BY v DESC, key DESC) AS place, count(*) OVER (PARTITION BY synset) AS size FROM v) WHERE place <= 60 AND v >= 0.05),
+kin AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY rel, dst) AS n FROM synset_relations WHERE rel IN ('hypernym', 'hyponym')) WHERE n <= 25), part AS (SELECT synset, unnest(string_split(key, ' ')) AS link FROM mem),
+bag AS (SELECT synset, link, max(w) AS w FROM (SELECT synset, key AS link, 1.0::DOUBLE AS w FROM def UNION ALL SELECT synset, link, 1.0 FROM part UNION ALL SELECT src, link, 0.6 FROM kin JOIN part ON part.synset = dst UNION ALL SELECT src, key, 0.4 FROM kin JOIN def ON def.synset = dst) GROUP BY 1, 2),
+se AS (SELECT key, synset, 1.0::DOUBLE / (1.0::DOUBLE + 0.15::DOUBLE * (e[1] - 1)) AS wt FROM ent WHERE NOT contains(key, ' ') AND key NOT IN (SELECT key FROM stop) AND key <> 'door' AND e[1] <= 40), tot AS (SELECT key, sum(wt) AS total FROM se GROUP BY key),
+mean AS (SELECT se.key, link, round(sum(w * wt) / any_value(total), 9) AS mean FROM se JOIN bag USING (synset) JOIN tot USING (key) GROUP BY 1, 2),
+exp_ AS (SELECT key, link, w / 100.0::DOUBLE AS lw FROM (SELECT mean.key, link, floor(mean * 100 + 0.5) AS w, row_number() OVER (PARTITION BY mean.key ORDER BY mean DESC, link) AS place FROM mean JOIN idf ON idf.key = link WHERE idf >= 4.5 AND link <> mean.key AND link NOT IN (SELECT key FROM stop) AND link <> 'door') WHERE place <= 40 AND w > 0),
+tk AS (SELECT qid, target, unnest(string_split(sentence, ' ')) AS low, unnest(range(len(string_split(sentence, ' ')))) AS j FROM said),
+clue AS (SELECT qid, low AS key, 1.0::DOUBLE / (1.0::DOUBLE + 0.04::DOUBLE * greatest(min(abs(j - 2)) - 1, 0)) AS dw FROM tk WHERE low <> target AND low NOT IN (SELECT key FROM stop) GROUP BY qid, low),
+cnd AS (SELECT qid, synset, e[1] AS rank FROM said JOIN ent ON ent.key = target),
+pts AS (SELECT c.qid, c.synset, u.key, u.dw, max(s.w) AS direct, (SELECT CASE WHEN count(*) > 0 THEN least(0.35::DOUBLE * sum(s2.w * x.lw) * least(1.0::DOUBLE, sqrt(150.0::DOUBLE / max(s2.size))), 2.0::DOUBLE) END FROM exp_ x JOIN sig_ s2 ON s2.key = x.link WHERE x.key = u.key AND s2.synset = c.synset) AS indirect
+ FROM cnd c JOIN clue u ON u.qid = c.qid LEFT JOIN sig_ s ON s.synset = c.synset AND s.key = u.key GROUP BY c.qid, c.synset, u.key, u.dw),
+tt AS (SELECT qid, synset, sum(greatest(coalesce(direct, 0), coalesce(indirect, 0)) * dw) AS total FROM pts GROUP BY 1, 2),
+fin AS (SELECT c.qid, c.synset, rank, round(coalesce(total, 0) + 2.0::DOUBLE / rank, 6) AS score FROM cnd c LEFT JOIN tt USING (qid, synset))
+SELECT qid, synset, CAST(floor(round(score, 3) * 100 + 0.5) AS BIGINT) AS score2 FROM fin WHERE true QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 3) DESC, rank, synset) = 1"""
+)
+def picker_sentences(spark, sf_dir):
+    asked = sentences(spark, sf_dir)
+    tables = built(spark, sf_dir)
+    best = picker.pick(asked, tables, {"generic": ["door"]}).filter("place = 1")
+    return best.select("qid", "synset", F.floor(F.col("score") * 100 + 0.5).alias("score2"))
+
+
+_ASKED = "asked AS (SELECT k AS qid, CASE k % 4 WHEN 0 THEN word || ', ' || name || ' and ' || word WHEN 1 THEN name || ' by the ' || word || 's' WHEN 2 THEN 'so ' || word || ' it is; ' || word ELSE 'nothing here' END AS sentence, '(' || word || ')' AS target, word, CASE WHEN k % 3 = 0 THEN length(word) + 2 WHEN k % 3 = 1 THEN 200 END AS tap FROM p)"
+
+
+@register(
+    rf"""{_LEX}, {_ASKED}, g AS (SELECT qid, word, tap, unnest(regexp_extract_all(sentence, '[a-z]+')) AS low, unnest(range(len(regexp_extract_all(sentence, '[a-z]+')))) AS j, unnest(regexp_extract_all(sentence || ' ', '[a-z]+[^a-z]*')) AS whole FROM asked),
+o AS (SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY qid ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM g),
+r AS (SELECT qid, j, low, CASE WHEN tap >= start AND tap < start + length(low) THEN 0 WHEN low = word THEN 1 WHEN low = word || 's' AND word IN (SELECT lemma FROM entries WHERE pos IN ('n', 'v')) THEN 2 END AS way, coalesce(abs(start - tap), 0) AS far FROM o),
+m AS (SELECT qid, min((way, far, j, low)) AS m FROM r WHERE way IS NOT NULL GROUP BY qid)
+SELECT asked.qid, CAST(m.m[3] AS BIGINT) AS ti, coalesce(m.m[4], asked.word) AS low FROM asked LEFT JOIN m ON m.qid = asked.qid"""
+)
+def find_target(spark, sf_dir):
+    t = sample.lexicon(spark, sf_dir)
+    w = t["senses"].filter("member_rank = 1").select(F.substring("synset_id", 2, 20).cast("long").alias("k"), F.col("lemma").alias("word"), "synset_id")
+    w = w.join(t["senses"].filter("member_rank = 2").select("synset_id", F.col("lemma").alias("name")), "synset_id")
+    k, word, name = F.col("k"), F.col("word"), F.col("name")
+    said = F.when(k % 4 == 0, F.concat(word, F.lit(", "), name, F.lit(" and "), word)).when(k % 4 == 1, F.concat(name, F.lit(" by the "), word, F.lit("s"))).when(k % 4 == 2, F.concat(F.lit("so "), word, F.lit(" it is; "), word)).otherwise("nothing here")
+    at = F.when(k % 3 == 0, F.length(word) + 2).when(k % 3 == 1, 200)
+    asked = w.select(k.alias("qid"), said.alias("sentence"), F.concat(F.lit("("), word, F.lit(")")).alias("target"), at.alias("at"))
+    entry = t["entries"].select(F.col("lemma_key").alias("key"), graph.folded(F.col("pos")).alias("pos")).distinct()
+    plural = t["entries"].filter("pos in ('n', 'v') and lemma not like '% %'").select(F.concat("lemma", F.lit("s")).alias("form"), F.col("lemma").alias("key"), F.lit(1).alias("ord")).distinct()
+    found = picker.find_target(asked, picker.sentence_tokens(asked), plural, entry)
+    return found.select("qid", F.col("ti").cast("long").alias("ti"), "low")
+
+
+@register(
+    f"""{_LEX}, q AS (SELECT k AS qid, word, CASE WHEN pos = 's' THEN 'a' ELSE pos END AS pos, right(word, 1) AS z FROM p),
+f AS (SELECT qid, word AS form FROM q UNION SELECT qid, unnest(CASE WHEN pos IN ('n', 'v') THEN [word || 's', word || 'es', word || '''s'] ELSE [word || 'er', word || 'est', word || 'r', word || 'st', word || z || 'er', word || z || 'est'] END) FROM q
+UNION SELECT qid, unnest([word || 'ed', word || 'd', word || 'ing', word || z || 'ed', word || z || 'ing']) FROM q WHERE pos = 'v' UNION SELECT qid, left(word, length(word) - 1) || 'ing' FROM q WHERE pos = 'v' AND z = 'e' UNION SELECT qid, form_key FROM q JOIN forms ON form_key = word || 'en') SELECT qid, form FROM f"""
+)
+def target_forms(spark, sf_dir):
+    t = sample.lexicon(spark, sf_dir)
+    own = t["senses"].filter("member_rank = 1").select(F.substring("synset_id", 2, 20).cast("long").alias("qid"), F.col("lemma").alias("low"), F.col("lemma").alias("key"), graph.folded(F.col("pos")).alias("pos"))
+    forms = t["forms"].join(t["entries"].select(F.col("id").alias("entry_id"), F.col("lemma_key").alias("key")), "entry_id").select("key", F.col("form_key").alias("form"))
+    return picker.target_forms(own, forms)
+
+
+# ---- search, evaluation, stores
+
+@register(
+    f"""WITH v AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), q AS (SELECT DISTINCT left(word, n) AS query FROM v, (VALUES (1), (2), (5)) t(n))
+SELECT query, word AS key, place FROM (SELECT query, word, row_number() OVER (PARTITION BY query ORDER BY length(word), word) AS place FROM q JOIN v ON starts_with(word, query)) WHERE place <= 8"""
+)
+def completions_of_any_length(spark, sf_dir):
+    v = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("key")).distinct()
+    q = v.select(F.explode(F.array(*[F.left("key", F.lit(n)) for n in (1, 2, 5)])).alias("query"))
+    return search.completions(q, v).withColumn("place", F.col("place").cast("long"))
+
+
+@register(f"{_LEX}, {_FITSENSE}, w AS (SELECT DISTINCT CASE k % 3 WHEN 0 THEN upper(word) WHEN 1 THEN name ELSE 'zz' || word END AS word FROM p) SELECT w.word, lower(w.word) AS key, count(ent.key) > 0 AS found, count(ent.key) AS meanings, CASE WHEN count(ent.key) > 0 AND NOT contains(w.word, ' ') THEN reverse(lower(w.word)) END AS said FROM w LEFT JOIN ent ON ent.key = lower(w.word) GROUP BY w.word")
+def point_lookups(spark, sf_dir):
+    t, _, entry = shown(spark, sf_dir)
+    w = t["senses"].filter("member_rank = 1").select(F.substring("synset_id", 2, 20).cast("long").alias("k"), F.col("lemma").alias("word"), "synset_id").join(t["senses"].filter("member_rank = 2").select("synset_id", F.col("lemma").alias("name")), "synset_id")
+    asked = w.select(F.when(F.col("k") % 3 == 0, F.upper("word")).when(F.col("k") % 3 == 1, F.col("name")).otherwise(F.concat(F.lit("zz"), "word")).alias("word"))
+    return search.look_up(asked, {"entry": entry, "ipa": serving.pronunciations(entry, t)})
+
+
+@register(
+    """WITH r AS (SELECT event_type AS kind, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+q AS (SELECT kind, any_value(n) AS n, CAST(floor(1e4 * avg(x) + 0.5) AS BIGINT) AS mean4, max(x) AS top FROM r GROUP BY kind),
+c AS (SELECT kind, parts, qn, greatest(1, least((n + 1) * qn // parts, n - 1)) AS j, n FROM q, (VALUES (1, 2), (9, 10)) t(qn, parts)),
+v AS (SELECT c.kind, parts, (max(CASE WHEN r.r = j THEN x END) * (parts - (any_value(c.n) * any_value(qn) + any_value(qn) - any_value(j) * parts)) + max(CASE WHEN r.r = j + 1 THEN x END) * (any_value(c.n) * any_value(qn) + any_value(qn) - any_value(j) * parts)) / parts AS value FROM c JOIN r ON r.kind = c.kind GROUP BY c.kind, parts)
+SELECT kind, n, mean4, max(CASE WHEN parts = 2 THEN value END) AS median, max(CASE WHEN parts = 10 THEN value END) AS p90, top FROM q JOIN v USING (kind) GROUP BY kind, n, mean4, top"""
+)
+def latency_summary(spark, sf_dir):
+    own = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "value")
+    out = evaluate.summary(own, ["kind"], "value")
+    return out.select("kind", "n", F.floor(F.col("mean") * 1e4 + 0.5).alias("mean4"), "median", "p90", "top")
+
+
+@register("SELECT conv_id, turn, role FROM conversations WHERE role NOT IN (SELECT role FROM conversations WHERE conv_id = 0)")
+def unseen_items(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return evaluate.unseen(c, c.filter("conv_id = 0"), "role").select("conv_id", "turn", "role")
+
+
+@register("SELECT source, count(DISTINCT doc_id) FILTER (n_chars > 1000) AS long_docs, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS english, CAST(sum(CASE WHEN n_chars <= 100 THEN 1 ELSE 0 END) AS BIGINT) AS tiny FROM documents GROUP BY source")
+def conditional_counters(spark, sf_dir):
+    when = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_distinct(F.when(F.col("n_chars") > 1000, F.col("doc_id"))).alias("long_docs"), when(F.col("lang") == "en").alias("english"), when(F.col("n_chars") <= 100).alias("tiny"))
+
+
+@register("SELECT user_id, place, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 3")
+def newest_first(spark, sf_dir):
+    by = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(spark, sf_dir, "events").select("user_id", F.row_number().over(by).cast("long").alias("place"), "event_id").filter("place <= 3")
+
+
+@register(
+    """WITH a AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey % 2 = 0), n AS (SELECT * FROM a UNION ALL SELECT n_nationkey, 'new ' || n_name FROM nation WHERE n_nationkey NOT IN (SELECT k FROM a)),
+r AS (SELECT k, v FROM n WHERE k % 5 <> 0 UNION ALL SELECT n_nationkey, 'again ' || n_name FROM nation WHERE n_nationkey % 5 = 0), m AS (SELECT 'rows_nation' AS k, CAST(count(*) AS VARCHAR) AS v FROM r UNION ALL SELECT 'layer', 'x')
+SELECT 'nation' AS name, CAST(k AS VARCHAR) AS key, v AS value FROM r UNION ALL SELECT 'meta', k, v FROM m UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), r_name FROM region"""
+)
+def catalog_build(spark, sf_dir):
+    """A catalog built twice (the second build takes a layer of the first and changes it), read back."""
+    home = f"{scratch.folder(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    n = table(spark, sf_dir, "nation")
+    first = n.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    stores.build(spark, home, {"nation": first, "region": table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v"))})
+    more = n.select(F.col("n_nationkey").alias("k"), F.concat(F.lit("new "), "n_name").alias("v"))
+    again = n.filter("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("again "), "n_name").alias("v"))
+    own = stores.replace_rows(stores.insert_new(stores.open_table(spark, home, "nation"), more, ["k"]), again, ["k"])
+    tables = {"nation": own, **stores.copy_layer(spark, home, ["region"])}
+    tables["meta"] = stores.metadata({"nation": own}, {"layer": "x"}).select(F.col("key").alias("k"), F.col("value").alias("v"))
+    stores.build(spark, home, tables, lambda fresh: stores.guard(stores.open_table(spark, fresh, "nation"), "forbidden").count())
+    read = [stores.open_table(spark, home, name).select(F.lit(name).alias("name"), F.col("k").cast("string").alias("key"), F.col("v").alias("value")) for name in ("nation", "region", "meta")]
+    return read[0].union(read[1]).union(read[2])
+
+
+@register("SELECT page_id, octet_length(encode(html)) + 1 AS bytes, sha256(html || chr(10)) AS sha256 FROM pages WHERE html IS NOT NULL")
+def file_checksums(spark, sf_dir):
+    """Checksums of files: every page written as a file of its own (with a line end), read back as bytes."""
+    home = f"{scratch.folder(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    own = table(spark, sf_dir, "pages").filter("html is not null")
+    own.select("page_id", F.col("html").alias("value")).repartition(4, "page_id").write.partitionBy("page_id").text(home)
+    found = stores.checksums(spark, f"{home}/*/*.txt")
+    return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "bytes", "sha256")
+
+
+@register(
+    """WITH x AS (SELECT lang AS kind, doc_id AS id, 0 AS line, source AS text FROM documents WHERE n_chars < 500)
+SELECT kind, count(*) AS n, string_agg(text, '|' ORDER BY id) FILTER (nth <= 8) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id, line, text) AS nth FROM x) GROUP BY kind"""
+)
+def parse_log(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").filter("n_chars < 500").select(F.col("lang").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).alias("line"), F.col("source").alias("text"))
+    return stores.parse_log(rows).select("kind", "n", F.array_join("examples", "|").alias("examples"))
+
+
+# ---- books made from the part table: written as their printers would, read back
+
+@register(
+    """WITH b AS (SELECT p_partkey AS k, lower(p_name) AS name, lower(p_type) AS kind, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS id FROM part WHERE p_name IS NOT NULL),
+e AS (SELECT *, 3 * (row_number() OVER (PARTITION BY id ORDER BY k) - 1) AS line, string_split(name, ' ')[2] || chr(CAST(97 + k % 13 AS INT)) AS head, string_split(name, ' ')[1] AS w1 FROM b)
+SELECT id, head AS headword, CASE k % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'v' ELSE 'adj' END AS pos, CASE k % 3 WHEN 0 THEN 'n.' WHEN 1 THEN 'v. a.' ELSE 'a.' END AS pos_raw, line,
+ '1:' || name || ',' || kind || ';x:' || kind || ';l:Naut.|2:be ' || w1 || ',be thing,be done;x:;l:' AS senses FROM e"""
+)
+def synonym_book_round_trip(spark, sf_dir):
+    p = table(spark, sf_dir, "part").filter("p_name is not null").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("name"), F.upper("p_type").alias("kind"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("id"))
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("k")) - 1)
+    words = F.split("name", " ")
+    head = F.initcap(F.concat(F.get(words, F.lit(1)), F.substring(F.lit("abcdefghijklm"), (F.col("k") % 13 + 1).cast("int"), 1)))
+    tag = F.element_at(F.array(F.lit("_n._"), F.lit("_v. a._"), F.lit("_a._")), (F.col("k") % 3 + 1).cast("int"))
+    said = F.concat(F.lit("~"), head, F.lit("~, "), tag, F.lit(" ~1.~ ("), F.lit("_Naut._) "), F.col("name"), F.lit("; "), F.col("kind"), F.lit("."))
+    more = F.concat(F.lit("~2.~ Be "), F.get(words, F.lit(0)), F.lit(", thing, or done."))
+    rows = p.select("id", F.explode(F.array(F.struct((F.col("n") * 3).alias("line"), said.alias("text")), F.struct((F.col("n") * 3 + 1).alias("line"), more.alias("text")), F.struct((F.col("n") * 3 + 2).alias("line"), F.lit("").alias("text")))).alias("r")).select("id", "r.*")
+    found = synonymy.records(rows, "old")
+    sense = lambda s: F.concat(s["n"].cast("string"), F.lit(":"), F.array_join(s["synonyms"], ","), F.lit(";x:"), F.array_join(s["xrefs"], ","), F.lit(";l:"), F.array_join(s["labels"], ","))
+    return found.select("id", "headword", "pos", "pos_raw", F.col("line").cast("long").alias("line"), F.array_join(F.transform("senses", sense), "|").alias("senses"))
+
+
+@register(
+    """WITH b AS (SELECT p_partkey AS k, lower(p_name) AS name, lower(p_type) AS kind, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS id FROM part WHERE p_name IS NOT NULL),
+e AS (SELECT *, 2 * (row_number() OVER (PARTITION BY id ORDER BY k) - 1) + 4 AS line, CAST(k % 900 + 1 AS VARCHAR) AS ref, string_split(name, ' ')[1] AS w1, string_split(name, ' ')[2] AS w2 FROM b),
+g AS (SELECT *, 0 AS place, 'n' AS pos, 0 AS para, w1 || ',' || w2 || chr(CAST(97 + k % 13 AS INT)) AS words, '' AS foreign_, '' AS xrefs FROM e UNION ALL SELECT *, 1, 'n', 0, kind, '', kind || '>' || ref FROM e UNION ALL SELECT *, 2, 'n', 1, name, w2 || 'um', '' FROM e UNION ALL SELECT *, 3, 'v', 0, w1 || ' up', '', '' FROM e)
+SELECT id, CAST(k AS VARCHAR) AS head, 'Words about ' || id AS "class", upper(left(kind, 1)) || substr(kind, 2) || ' ' || w1 AS name, line, CAST(place AS BIGINT) AS place, pos, CAST(para AS BIGINT) AS para, words, foreign_ AS "foreign", xrefs FROM g"""
+)
+def thesaurus_round_trip(spark, sf_dir):
+    p = table(spark, sf_dir, "part").filter("p_name is not null").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("name"), F.lower("p_type").alias("kind"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("id"))
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("k")) - 1)
+    w1, w2 = F.get(F.split("name", " "), F.lit(0)), F.get(F.split("name", " "), F.lit(1))
+    letter = F.substring(F.lit("abcdefghijklm"), (F.col("k") % 13 + 1).cast("int"), 1)
+    ref = (F.col("k") % 900 + 1).cast("string")
+    said = F.concat(F.lit("#"), F.col("k").cast("string"), F.lit(". "), F.col("kind"), F.lit(" "), w1, F.lit(".—N. "), w1, F.lit(", "), w2, letter, F.lit("; "), F.col("kind"), F.lit(" &c. "), ref, F.lit(". "), F.col("name"), F.lit(", "), w2, F.lit("um[Lat]. V. "), w1, F.lit(" up."))
+    top = p.select("id").distinct().select("id", F.explode(F.array(F.struct(F.lit(0).alias("line"), F.lit("CLASS I").alias("text")), F.struct(F.lit(1).alias("line"), F.concat(F.lit("WORDS ABOUT "), F.col("id").cast("string")).alias("text")), F.struct(F.lit(2).alias("line"), F.lit("").alias("text")))).alias("r")).select("id", "r.*")
+    rows = p.select("id", F.explode(F.array(F.struct((F.col("n") * 2 + 4).alias("line"), said.alias("text")), F.struct((F.col("n") * 2 + 5).alias("line"), F.lit("").alias("text")))).alias("r")).select("id", "r.*")
+    found = thesaurus.heads(top.union(rows), "old")
+    g = found.select("id", "head", "class", "name", "line", F.posexplode("groups").alias("place", "g"))
+    refs = F.array_join(F.transform("g.xrefs", lambda x: F.concat(x["word"], F.lit(">"), x["head"])), ",")
+    return g.select("id", "head", "class", "name", F.col("line").cast("long").alias("line"), F.col("place").cast("long").alias("place"), "g.pos", F.col("g.para").cast("long").alias("para"), F.array_join("g.words", ",").alias("words"), F.array_join("g.foreign", ",").alias("foreign"), refs.alias("xrefs"))

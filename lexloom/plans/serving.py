@@ -177,11 +177,11 @@ def build(lexicon: dict[str, DataFrame], unfit: DataFrame, bad: DataFrame, synon
     first = lexicon["examples"].filter("seq = 1").select(F.col("synset_id").alias("id"), F.col("text").alias("example"))
     size = sig.groupBy(F.col("synset").alias("id")).agg(F.max("size").cast("int").alias("sigsize"))
     meaning = lexicon["synsets"].join(fit, "id", "left_semi").join(first, "id", "left").join(size, "id", "left")
-    meaning = meaning.select(number(F.col("id")).alias("mid"), "id", graph.folded(F.col("pos")).alias("pos"), "definition", "example", F.coalesce("sigsize", F.lit(0)).alias("sigsize"))
+    meaning = cut(meaning.select(number(F.col("id")).alias("mid"), "id", graph.folded(F.col("pos")).alias("pos"), "definition", "example", F.coalesce("sigsize", F.lit(0)).alias("sigsize")), "meaning")
     keys = sig.select("key").union(exp.select("key")).union(exp.select("link")).distinct()
     return {
         "stop": stop.select("key").distinct(),
-        "tok": form_rows(entry, lexicon),
+        "tok": cut(form_rows(entry, lexicon), "tok"),
         "entry": entry,
         "meaning": meaning,
         "syn": shown_synonyms(synonyms, entry, bad, main),
