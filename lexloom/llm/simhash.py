@@ -40,10 +40,13 @@ SEED = 42
 #: Bit blocks (shift, width); on one of them two linked fingerprints differ in at most one bit.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 BLOCK_RADIUS = RADIUS // len(BLOCKS)
-#: Fingerprints that the tops of the trees are fitted to, and depth limit of a top (2**depth shards a block).
-SAMPLE = 4096
+#: Fingerprints that the tops of the trees are fitted to, at least and per shard; points of a shard; depth limit of a top
+#: (2**depth shards a block: at 16 some billion different fingerprints).
+SAMPLE, SHARD_SAMPLE = 4096, 8
 SHARD_POINTS = 16_384
-MAX_DEPTH = 10
+MAX_DEPTH = 16
+#: A fingerprint of more rows is joined by broadcast, apart from the others, unless there are more such fingerprints.
+HOT_ROWS, HOT_PRINTS = 100_000, 1_000_000
 LEAF = 48
 
 
@@ -175,9 +178,12 @@ def search(points: np.ndarray, block_values: np.ndarray, homes: np.ndarray, bloc
 def links(points: DataFrame) -> DataFrame:
     """(a, b): for each class found in a shard, a link from every member to the smallest; b < a.  ``points`` has distinct fp."""
     n = points.count()
-    sample = [r[0] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    sample_bits = np.array(sample, dtype=np.int64).view(np.uint64)
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n / SHARD_POINTS))))))
+    size = max(SAMPLE, SHARD_SAMPLE << depth)
+    share = min(1.0, 2 * size / max(1, n))  # twice the sample by a hash, then the first of them by another
+    some = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = [r[0] for r in some.orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(size).collect()]
+    sample_bits = np.array(sample, dtype=np.int64).view(np.uint64)
     tops = [top_tree(_part(sample_bits, b), depth) for b in BLOCKS]
 
     def deal(batches):
@@ -226,16 +232,22 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped_rows(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, k, fp, component_id, root (names the component, also where no row of it has an id)."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     points = materialize(points, "points")
     roots = materialize(components(links(points)), "roots")
-    placed = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = points.join(roots, points.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     merged = placed.join(roots.select(F.col("root").alias("merged")).distinct(), placed.root == F.col("merged"), "left")
-    single = merged.filter("merged is null").select("fp", F.col("least").alias("component_id"), "root")
-    own = merged.filter("merged is not null").select("fp", "least", "root")
+    single = merged.filter("merged is null").select("fp", F.col("least").alias("component_id"), "root", "rows")
+    own = merged.filter("merged is not null").select("fp", "least", "root", "rows")
     smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = materialize(single.union(own.join(smallest, "root").select("fp", "component_id", "root")), "placed")
-    return prints.join(placed, "fp").select("doc_id", "k", "fp", "component_id", "root")
+    placed = materialize(single.union(own.join(smallest, "root").select("fp", "component_id", "root", "rows")), "placed")
+    # Rows of one fingerprint (all empty texts share one) never meet in one task.
+    hot = placed.filter(F.col("rows") > HOT_ROWS).drop("rows")
+    columns = ["doc_id", "k", "fp", "component_id", "root"]
+    if not 0 < hot.count() <= HOT_PRINTS:
+        return prints.join(placed, "fp").select(*columns)
+    rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(placed.filter(F.col("rows") <= HOT_ROWS), "fp")
+    return prints.join(F.broadcast(hot), "fp").select(*columns).union(rest.select(*columns))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -198,6 +198,10 @@ def test_simhash(spark, docs, empty):
     want = Counter((d, f"{f:016x}", least.get(find(f))) for d, f in prints)
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
     assert simhash.near_duplicates(empty).collect() == []
+    from unittest import mock
+
+    with mock.patch.object(simhash, "HOT_ROWS", 1):
+        assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
 
 
 @pytest.mark.parametrize("depth", [0, 3])
