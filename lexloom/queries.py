@@ -191,10 +191,10 @@ def integrity_orphans(spark, sf_dir):
     return out
 
 
-@register("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 0")
+@register("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 0")
 def having_no_support(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("bad")).filter("bad = 0").drop("bad")
+    return li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("bad")).filter("bad = 0").drop("bad")
 
 
 @register("SELECT l_orderkey, l_partkey, min(l_linenumber) AS rank FROM lineitem GROUP BY l_orderkey, l_partkey")
@@ -226,12 +226,19 @@ def _collapse_sql(x: str) -> str:
     return x
 
 
-_WORDS_SQL = f"SELECT DISTINCT {_KEY.format('token')} AS word FROM (SELECT unnest({_TOKENS.format('p_name')}) AS token FROM part UNION ALL SELECT unnest({_TOKENS.format('text')}) FROM benchmark)"
+_WORDS_SQL = f"SELECT DISTINCT {_KEY.format('token')} AS word FROM (SELECT unnest({_TOKENS.format('p_name')}) AS token FROM part UNION ALL SELECT unnest({_TOKENS.format('text')}) FROM benchmark UNION ALL SELECT unnest({_TOKENS.format('text')}) FROM documents)"
 
 
-def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Words that are asked for, against all words.
+_ASKED_SQL = f"SELECT DISTINCT {_KEY.format('token')} AS word FROM (SELECT unnest({_TOKENS.format('p_name')}) AS token FROM part UNION ALL SELECT unnest({_TOKENS.format('text')}) FROM benchmark)"
+
+
+def word_list(spark: SparkSession, sf_dir: str, asked: bool = False) -> DataFrame:
+    """The distinct words of all part names, test items and documents; ``asked``: of names and items only."""
     part, bench = table(spark, sf_dir, "part"), table(spark, sf_dir, "benchmark")
     both = part.select(F.explode(fn.tokens(F.col("p_name"))).alias("token")).union(bench.select(F.explode(fn.tokens(F.col("text")))))
+    if not asked:
+        both = both.union(spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(fn.tokens(F.col("text")))))
     return both.select(fn.lookup_key(F.col("token")).alias("word")).distinct()
 
 
@@ -242,7 +249,7 @@ def sound_keys(spark, sf_dir):
 
 @register(
     f"""WITH v AS ({_WORDS_SQL}), q AS (SELECT DISTINCT left(word, 3) AS query FROM v WHERE length(word) >= 3)
-SELECT query, word AS key, place FROM (SELECT query, word, row_number() OVER (PARTITION BY query ORDER BY length(word), word) AS place FROM q JOIN v ON starts_with(word, query)) WHERE place <= 8"""
+SELECT query, word AS key, place FROM (SELECT query, word, row_number() OVER (PARTITION BY query ORDER BY length(word), word) AS place FROM q JOIN v ON left(word, 3) = query) WHERE place <= 8"""
 )
 def completions(spark, sf_dir):
     v = word_list(spark, sf_dir)
@@ -254,7 +261,7 @@ _SOUND_OF = _collapse_sql("regexp_replace(substr(x, 1, 1), '[aeiouy]', 'a') || r
 
 
 @register(
-    f"""WITH v0 AS (SELECT * FROM ({_WORDS_SQL}) WHERE regexp_full_match(word, '[a-z]+')), f AS (SELECT word, {_sound_sql("word")} AS x FROM v0), v AS (SELECT word, {_SOUND_OF} AS sound FROM f), q AS (SELECT * FROM v WHERE length(word) >= 4),
+    f"""WITH v0 AS (SELECT * FROM ({_WORDS_SQL}) WHERE regexp_full_match(word, '[a-z]+')), f AS (SELECT word, {_sound_sql("word")} AS x FROM v0), v AS (SELECT word, {_SOUND_OF} AS sound FROM f), q AS (SELECT * FROM v WHERE length(word) >= 4 AND word IN ({_ASKED_SQL})),
 w AS (SELECT q.word AS query, v.word AS key, 0 AS kind, levenshtein(q.word, v.word) AS d, length(v.word) AS n FROM q JOIN v ON q.sound = v.sound AND q.sound <> ''
 UNION ALL SELECT q.word, v.word, 1, levenshtein(q.word, v.word), 0 FROM q JOIN v ON left(q.word, 1) = left(v.word, 1) AND abs(length(q.word) - length(v.word)) <= 2 AND levenshtein(q.word, v.word) <= greatest(1, length(q.word) // 3)),
 b AS (SELECT query, key, min((kind, d, n)) AS r FROM w WHERE key <> query GROUP BY query, key)
@@ -262,7 +269,8 @@ SELECT query, key, place FROM (SELECT query, key, row_number() OVER (PARTITION B
 )
 def near_spelling(spark, sf_dir):
     v = word_list(spark, sf_dir).filter(F.col("word").rlike("^[a-z]+$"))
-    out = search.suggestions(v.filter(F.length("word") >= 4).select(F.col("word").alias("query")), v.select(F.col("word").alias("key")))
+    asked = word_list(spark, sf_dir, asked=True).filter(F.col("word").rlike("^[a-z]+$") & (F.length("word") >= 4))
+    out = search.suggestions(asked.select(F.col("word").alias("query")), v.select(F.col("word").alias("key")))
     return out.withColumn("place", F.col("place").cast("long"))
 
 
@@ -326,16 +334,23 @@ def heading_sections(spark, sf_dir):
     return rows.groupBy("id", "par", "section").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("chars"))
 
 
-@register(r"SELECT page_id, md5(x) AS body_md5, length(x) AS chars FROM (SELECT page_id, regexp_extract(html, '(?s)<body[^>]*>(.*?)</body>', 1) AS x FROM pages)")
+@register("SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN md5(replace(html, chr(13) || chr(10), chr(10)) || chr(10)) END AS body_md5, CASE WHEN page_id % 7 <> 0 THEN length(replace(html, chr(13) || chr(10), chr(10))) + 1 END AS chars FROM pages")
 def marker_clip(spark, sf_dir):
-    own = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<body[^>]*>(.*?)</body>", 1).alias("x"))
+    """Pages put between marker lines (every seventh without its end) and clipped again."""
+    end = F.when(F.col("page_id") % 7 == 0, "\r\nno end").otherwise("\r\n*** END of it\r\nfoot")
+    own = table(spark, sf_dir, "pages").select("page_id", books.clip(F.concat(F.lit("\ufeffhead\r\n*** START of it\r\n"), "html", end), r"\*\*\* START", r"\*\*\* END").alias("x"))
     return own.select("page_id", F.md5("x").alias("body_md5"), F.length("x").cast("long").alias("chars"))
 
 
-@register()
+# The engine has no look-ahead, so the letter after a sentence is put back behind the mark.
+@register(
+    r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?]["''’”)\]]*)\s+([^\p{Ll}\s]|$)', '\1' || chr(1) || '\2', 'g'), '\n[ \t]*\n', chr(1), 'g') AS t FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS s FROM m)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n, list_max(list_transform(s, lambda x: length(x))) AS longest FROM s"""
+)
 def sentence_split(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", books.sentences(F.col("text")).alias("s"))
-    return own.select("doc_id", F.size("s").alias("n"), F.array_max(F.transform("s", lambda x: F.length(x))).alias("longest"))
+    return own.select("doc_id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", lambda x: F.length(x))).cast("long").alias("longest"))
 
 
 @register("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
