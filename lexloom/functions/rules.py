@@ -11,8 +11,8 @@ SIG_KEEP, SYN_KEEP, EXP_KEEP = 60, 12, 40
 HOOD = {"member": 1.0, "similar": 0.8, "also": 0.8, "hypernym": 0.6, "hyponym": 0.4, "definition": 0.5}
 PHRASE_FACTOR, CONTEXT_FACTOR, CONTEXT_CAP = 0.5, 0.25, 1.0
 MIN_SCORE, MIN_GROUP, MARGIN, UPSET = 1.0, 0.4, 0.2, 1.5
-# fixed values: weight of a source in synonym ranking
-SOURCE_WEIGHT = {"oewn2025": 3.0, "soule1871": 1.0, "roget1911": 1.0}
+# fixed values: weight of the lexicon itself and of any other source in synonym ranking
+MAIN_WEIGHT, OTHER_WEIGHT = 3.0, 1.0
 
 # fixed values: sound folds on a-z, in order
 SOUND_FOLDS = (

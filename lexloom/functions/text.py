@@ -13,7 +13,7 @@ _BLANK = r"[ \t\n\x0B\f\r]+"
 
 
 def lookup_key(c: Column) -> Column:
-    """Dictionary key: straight apostrophes, no underscores, folded case, single blanks."""
+    """Lexicon key: straight apostrophes, no underscores, folded case, single blanks."""
     plain = F.translate(c, "’‘ʼ_", "''' ")
     folded = F.replace(F.lower(plain), F.lit("ß"), F.lit("ss"))
     return F.trim(F.regexp_replace(folded, _BLANK, " "))

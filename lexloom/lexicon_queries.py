@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as fn
-from lexloom.operators import evaluate, features, graph, lexicon, picker, search, vocabulary
+from lexloom.operators import evaluate, features, graph, lexicon, picker, screen, search, vocabulary
 from lexloom.plans import assembly, sample, serving
 from lexloom.queries import STOP, register, stop_table, table
 from lexloom.sources import scratch, stores, synonymy, thesaurus
@@ -638,3 +638,30 @@ def thesaurus_round_trip(spark, sf_dir):
     g = found.select("id", "head", "class", "name", "line", F.posexplode("groups").alias("place", "g"))
     refs = F.array_join(F.transform("g.xrefs", lambda x: F.concat(x["word"], F.lit(">"), x["head"])), ",")
     return g.select("id", "head", "class", "name", F.col("line").cast("long").alias("line"), F.col("place").cast("long").alias("place"), "g.pos", F.col("g.para").cast("long").alias("para"), F.array_join("g.words", ",").alias("words"), F.array_join("g.foreign", ",").alias("foreign"), refs.alias("xrefs"))
+
+
+# ---- the word screen
+
+_ANT = "ant AS (SELECT src_sense AS ref, dst_sense, lemma, synset_id FROM sense_relations JOIN senses ON id = dst_sense WHERE rel = 'antonym'), far AS (SELECT s.id AS ref, ant.dst_sense, ant.lemma, ant.synset_id FROM senses s JOIN synset_relations r ON r.src = s.synset_id AND r.rel = 'similar' JOIN synsets h ON h.id = r.dst AND h.pos = 'a' JOIN senses hs ON hs.synset_id = h.id JOIN ant ON ant.ref = hs.id WHERE s.id NOT IN (SELECT ref FROM ant)), opp AS (SELECT ref, lemma, min(dst_sense) AS o FROM (SELECT * FROM ant UNION ALL SELECT * FROM far) WHERE lemma NOT IN (SELECT key FROM bad) AND synset_id NOT IN (SELECT id FROM unfit) GROUP BY 1, 2)"
+
+
+@register(
+    f"""{_LEX}, {_ANT}, q AS (SELECT word, min(k) AS qid FROM p WHERE k % 4 = 0 GROUP BY word UNION ALL SELECT 'zz', -1),
+m AS (SELECT qid, q.word, s.synset_id AS synset, min((CASE e.pos WHEN 'n' THEN 0 WHEN 'v' THEN 1 ELSE 2 END, e.id, s.rank)) AS o FROM q JOIN entries e ON e.lemma_key = q.word JOIN senses s ON s.entry_id = e.id WHERE s.synset_id NOT IN (SELECT id FROM unfit) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o) AS place, count(*) OVER (PARTITION BY qid) AS n FROM m),
+f AS (SELECT r.src AS synset, a.word AS lemma, s.lemma AS key, min((CASE r.rel WHEN 'hyponym' THEN 0 ELSE 1 END, r.dst)) AS o FROM synset_relations r JOIN p a ON 'y' || a.k = r.src JOIN senses s ON s.synset_id = r.dst AND s.member_rank = 1
+ WHERE r.rel IN ('hyponym', 'hypernym') AND r.dst NOT IN (SELECT id FROM unfit) AND s.lemma NOT IN (SELECT key FROM bad) AND s.lemma <> a.word GROUP BY 1, 2, 3),
+k4 AS (SELECT synset, string_agg(key, ',' ORDER BY o) AS related FROM (SELECT *, row_number() OVER (PARTITION BY synset ORDER BY o) AS n FROM f) WHERE n <= 4 GROUP BY synset),
+a4 AS (SELECT ref, string_agg(lemma, ',' ORDER BY o) AS antonyms FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY o) AS n FROM opp) WHERE n <= 4 GROUP BY ref)
+SELECT q.qid, r.place, r.synset, y.definition, x.text AS example, p.name AS synonyms, coalesce(antonyms, '') AS antonyms, coalesce(related, '') AS related, r.synset IS NOT NULL AS found, coalesce(n - 5, 0) * CAST(coalesce(n, 0) > 5 AS INT) AS more_meanings
+FROM q LEFT JOIN r ON r.qid = q.qid AND r.place <= 5 LEFT JOIN synsets y ON y.id = r.synset LEFT JOIN examples x ON x.synset_id = r.synset LEFT JOIN p ON 'y' || p.k = r.synset LEFT JOIN a4 ON a4.ref = r.synset || '.0' LEFT JOIN k4 ON k4.synset = r.synset"""
+)
+def word_screen(spark, sf_dir):
+    t = sample.lexicon(spark, sf_dir)
+    unfit, bad = sample.unfit(t)
+    first = t["senses"].filter("member_rank = 1").select(F.substring("synset_id", 2, 20).cast("long").alias("k"), F.col("lemma").alias("word")).filter("k % 4 = 0")
+    asked = first.groupBy("word").agg(F.min("k").alias("qid")).select("qid", "word").union(spark.range(1).select(F.lit(-1).cast("long"), F.lit("zz")))
+    synonyms = t["senses"].select(F.col("synset_id").alias("synset"), F.col("lemma").alias("word"), F.col("lemma").alias("key"), F.lit(sample.SOURCE).alias("source"), F.lit(1.0).alias("score"))
+    out = screen.screens(asked, t, synonyms, unfit, bad).select("qid", "found", F.col("more_meanings").cast("long").alias("more_meanings"), F.explode_outer("meanings").alias("m"))
+    words = lambda c: F.array_join(F.transform(c, lambda x: x["word"]), ",")
+    return out.select("qid", F.col("m.place").cast("long").alias("place"), "m.synset", "m.definition", "m.example", words("m.synonyms").alias("synonyms"), F.coalesce(F.array_join("m.antonyms", ","), F.lit("")).alias("antonyms"), F.coalesce(words("m.related"), F.lit("")).alias("related"), "found", "more_meanings")

@@ -117,7 +117,7 @@ def verdicts(groups: DataFrame, scores: DataFrame, usable: DataFrame | None = No
     With ``usable`` (group, n): a long list with a single meaning and little in common with it is a long_group.
     """
     done = decide(scores).withColumn("second", F.coalesce("second", F.lit(0.0)))
-    out = groups.select("group").distinct().join(done, "group", "left").withColumn("verdict", F.coalesce("verdict", F.lit("no_wordnet_entry")))
+    out = groups.select("group").distinct().join(done, "group", "left").withColumn("verdict", F.coalesce("verdict", F.lit("no_entry")))
     out = out.join(scores.select("group", "target", "part"), ["group", "target"], "left")
     if usable is not None:
         out = out.join(usable.select("group", "n"), "group", "left")

@@ -388,13 +388,13 @@ def blocked_words(spark, sf_dir):
 
 
 @register(
-    """WITH r AS (SELECT l_suppkey AS synset, 'p' || (l_partkey % 40) AS key, CASE l_returnflag WHEN 'A' THEN 'soule1871' WHEN 'R' THEN 'roget1911' ELSE 'oewn2025' END AS source, floor(l_quantity / 10) AS score FROM lineitem),
+    """WITH r AS (SELECT l_suppkey AS synset, 'p' || (l_partkey % 40) AS key, CASE l_returnflag WHEN 'A' THEN 'book2' WHEN 'R' THEN 'book1' ELSE 'base' END AS source, floor(l_quantity / 10) AS score FROM lineitem),
 o AS (SELECT synset, key, source, max(score) AS score FROM r GROUP BY synset, key, source),
-a AS (SELECT synset, key, CAST(floor(1e6 * sum(CASE source WHEN 'oewn2025' THEN 3.0::DOUBLE ELSE least(score, 3.0) / 3.0::DOUBLE + 0.5::DOUBLE END) + 0.5) AS BIGINT) AS agree, count(*) AS n FROM o GROUP BY synset, key)
+a AS (SELECT synset, key, CAST(floor(1e6 * sum(CASE source WHEN 'base' THEN 3.0::DOUBLE ELSE least(score, 3.0) / 3.0::DOUBLE + 0.5::DOUBLE END) + 0.5) AS BIGINT) AS agree, count(*) AS n FROM o GROUP BY synset, key)
 SELECT synset, key, place FROM (SELECT synset, key, row_number() OVER (PARTITION BY synset ORDER BY agree DESC, length(key), key) AS place FROM a) WHERE place <= 6"""
 )
 def agree_synonyms(spark, sf_dir):
-    source = F.when(F.col("l_returnflag") == "A", "soule1871").when(F.col("l_returnflag") == "R", "roget1911").otherwise("oewn2025")
+    source = F.when(F.col("l_returnflag") == "A", "book2").when(F.col("l_returnflag") == "R", "book1").otherwise("base")
     key = F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("synset"), key.alias("key"), key.alias("word"), source.alias("source"), F.floor(F.col("l_quantity") / 10).cast("double").alias("score"))
     nobody = spark.createDataFrame([], "key string, senses long")
