@@ -57,3 +57,10 @@ def first_sense(items: DataFrame, entry: DataFrame, with_pos: bool = True) -> Da
     ranked = items.select("qid", *on).join(entry, on)
     by = Window.partitionBy("qid").orderBy("rank", "synset")
     return ranked.select("qid", F.row_number().over(by).alias("place"), "synset").filter("place = 1")
+
+
+def failures(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, said, right): items whose first prediction is wrong or missing, with all right meanings in order."""
+    right = gold.groupBy("qid").agg(F.array_sort(F.collect_set("synset")).alias("right"))
+    first = predictions.filter("place = 1").select("qid", F.col("synset").alias("said"))
+    return right.join(first, "qid", "left").filter(F.col("said").isNull() | ~F.array_contains("right", F.col("said"))).select("qid", "said", "right")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.rules import CLUE_SHARE, DIST_DECAY, EXP_KEEP, INDIRECT, INDIRECT_MAX, MIN_CLUE, POS_BONUS, POS_OTHER, PRIOR, SIG_KEEP, SIG_REF, SYN_KEEP
+from lexloom.functions.rules import EXP_KEEP, SIG_KEEP, SYN_KEEP
 from lexloom.functions.text import inflections, lookup_key, sound_key
-from lexloom.operators import features, graph
+from lexloom.operators import features, graph, picker
 from lexloom.operators import lexicon as lemmatiser
 from lexloom.sources.scratch import cut
 
@@ -51,11 +51,6 @@ def fixture(spark: SparkSession) -> tuple[dict[str, DataFrame], DataFrame]:
     return tables, make([(*s, None) for s in SENTENCES], "qid int, sentence string, target string, at int")
 
 
-#: Numbers of the picker that travel with the tables.
-PARAMETERS = {
-    "prior": PRIOR, "dist_decay": DIST_DECAY, "min_clue": MIN_CLUE, "clue_share": CLUE_SHARE, "indirect": INDIRECT,
-    "indirect_max": INDIRECT_MAX, "sig_ref": SIG_REF, "pos_bonus": POS_BONUS, "pos_other": POS_OTHER,
-}
 #: Least idf of a word that links meanings, and keys at least this heavy stay in a signature.
 LINK_IDF, LEAST_WEIGHT = 4.5, 0.05
 
@@ -149,7 +144,7 @@ def frequencies(definitions: DataFrame, examples: DataFrame, members: DataFrame,
 
 def meta_table(spark: SparkSession, lists: dict[str, list[str]]) -> DataFrame:
     """(key, value): the picker's numbers and word lists, as text."""
-    notes = {k: str(v) for k, v in PARAMETERS.items()} | {f"words_{n}": " ".join(sorted(w)) for n, w in lists.items()} | {"schema_version": "1"}
+    notes = {k: str(v) for k, v in picker.NUMBERS.items()} | {f"words_{n}": " ".join(sorted(w)) for n, w in lists.items()} | {"schema_version": "1"}
     return spark.createDataFrame(sorted(notes.items()), "key string, value string")
 
 

@@ -59,6 +59,75 @@ def test_picker_scores(spark):
         6: ("bright-light", 6.972, ["torch"]),
     }
     assert [r.synset for r in sorted(rows, key=lambda r: r.place) if r.qid == 1] == ["river-bank", "money-bank", "bank-tilt"]
+    links = {(x.clue, x.matched, x.channel) for r in rows if r.place == 1 for x in r.links}
+    assert ("boat", "boat", "direct") in links and ("pond", "river", "indirect") in links or ("pond", "water", "indirect") in links
+    plain = picker.pick(asked, tables, serving.LISTS, numbers={"indirect": 0.0}).filter("place = 1").collect()
+    assert {x.channel for r in plain for x in r.links} == {"direct"} and next(r.score for r in plain if r.qid == 3) == 6.0
+    gold = spark.createDataFrame([(1, "river-bank"), (3, "river-bank"), (7, "none")], "qid int, synset string")
+    wrong = evaluate.failures(spark.createDataFrame([(r.qid, r.place, r.synset) for r in rows], "qid int, place int, synset string"), gold).collect()
+    assert sorted((r.qid, r.said, list(r.right)) for r in wrong) == [(3, "money-bank", ["river-bank"]), (7, None, ["none"])]
+
+
+def test_vocabulary_and_stores(spark, tmp_path):
+    from lexloom.operators import vocabulary
+    from lexloom.sources import stores
+
+    df = spark.createDataFrame([("(hat)!",), ("--",), ("it's",), ("",), (None,)], "w string")
+    assert [r.s for r in df.select(fn.edge_strip(F.col("w")).alias("s")).collect()] == ["hat", "", "it's", "", None]
+    shapes = spark.createDataFrame([("ice-cream",), ("a.m.",), ("3d",), ("x1",), ("two words",), ("",)], "w string")
+    assert [r.s for r in shapes.select(fn.word_shape(F.col("w")).alias("s")).collect()] == [True, True, False, False, True, False]
+    text = 'He said "No." then left. A boat, e.g. a big one! Is it?\n\nNew part'
+    where = spark.createDataFrame([(text, 3), (text, 30), (text, 52), (text, 999), ("", 4), (None, 1)], "t string, at int")
+    got = [r.s for r in where.select(fn.sentence_around(F.col("t"), F.col("at")).alias("s")).collect()]
+    assert got == ['He said "No." then left.', "A boat, e.g. a big one!", "Is it?", "New part", "", ""]
+    with pytest.raises(Exception, match="unknown part of speech"):
+        spark.createDataFrame([("zzz",)], "p string").select(fn.normalise_pos(F.col("p"))).collect()
+    senses = spark.createDataFrame([("c1", "e1", "color", "s1", 1), ("c2", "e2", "colour", "s1", 2), ("a", "e3", "American spelling", "s9", 1), ("b", "e4", "British spelling", "s9", 1), ("g", "e5", "gray", "s2", 1), ("f", "e6", "fiber", "s3", 1), ("h", "e7", "fibred", "s3", 2)], "id string, entry_id string, lemma string, synset_id string, member_rank int")
+    entries = senses.select(F.col("entry_id").alias("id"), "lemma", fn.lookup_key(F.col("lemma")).alias("lemma_key"), F.lit("n").alias("pos"))
+    edges = spark.createDataFrame([("c1", "exemplifies", "a"), ("f", "exemplifies", "a"), ("h", "exemplifies", "b"), ("g", "exemplifies", "a"), ("g", "exemplifies", "b")], "src_sense string, rel string, dst_sense string")
+    words = entries.select(F.col("lemma_key").alias("key"))
+    assert {r.key for r in vocabulary.american_only(words, senses, entries, edges).collect()} == {"color", "fiber"}
+    asked = spark.createDataFrame([("s1", "color"), ("s2", "gray"), ("s3", "fiber")], "synset string, word string")
+    assert {r.word: r.form for r in vocabulary.british_forms(asked, senses, entries, edges).collect()} == {"color": "colour", "gray": "gray", "fiber": "fibred"}
+    home = str(tmp_path / "catalog")
+    with pytest.raises(FileNotFoundError, match="build the catalog first"):
+        stores.open_table(spark, home, "t")
+    stores.build(spark, home, {"t": spark.range(3)})
+    with pytest.raises(Exception, match="forbidden"):
+        stores.build(spark, home, {"t": stores.guard(spark.createDataFrame([("a Forbidden word",)], "x string"), "forbidden")})
+    assert stores.open_table(spark, home, "t").count() == 3 and sorted(p.name for p in tmp_path.iterdir()) == ["catalog"]
+    meta = stores.metadata({"t": spark.range(3)}, {"prior": "2.5"})
+    assert stores.parameters(meta, ["prior"]) == {"prior": 2.5} and stores.report(meta) == '{"prior": "2.5", "rows_t": "3"}'
+
+
+def test_heads_alignment(spark):
+    """A thesaurus group against a tiny lexicon: the best meaning, kept and withheld words, reasons."""
+    from lexloom.plans import assembly
+
+    meanings = {"m1": ("n", ["bank", "shore"]), "m2": ("n", ["bank", "vault"]), "m3": ("n", ["shore", "coast"]), "m4": ("n", ["slope"]), "m5": ("n", ["lake"]), "m6": ("n", ["pond"]), "m7": ("n", ["pool"])}
+    rows = [(f"{m}.{i}", f"e-{w}", w, p, m, 1, i + 1) for m, (p, ws) in meanings.items() for i, w in enumerate(ws)]
+    senses = spark.createDataFrame(rows, "id string, entry_id string, lemma string, pos string, synset_id string, rank int, member_rank int")
+    t = {
+        "senses": senses,
+        "entries": senses.select(F.col("entry_id").alias("id"), "lemma", F.col("lemma").alias("lemma_key"), "pos").distinct(),
+        "synsets": spark.createDataFrame([(m, p, "") for m, (p, _) in meanings.items()], "id string, pos string, definition string"),
+        "forms": spark.createDataFrame([], "entry_id string, form string, form_key string"),
+        "synset_relations": spark.createDataFrame([("m1", "hypernym", "m4"), ("m4", "hyponym", "m1"), ("m1", "similar", "m3"), ("m3", "similar", "m1")], "src string, rel string, dst string"),
+        "sense_relations": spark.createDataFrame([], "src_sense string, rel string, dst_sense string"),
+    }
+    stop = spark.createDataFrame([("the",)], "key string")
+    none = spark.createDataFrame([], "synset string, key string")
+    b = assembly.base(t, stop, none, spark.createDataFrame([], "key string"))
+    group = "array<struct<pos string, para int, label string, words array<string>, unrecognised array<string>, labels map<string,array<string>>>>"
+    heads = spark.createDataFrame([("7", "Edges", [("n", 0, None, ["bank", "shore", "slope", "lake", "zzzz"], [], {}), ("int", 0, None, ["bank", "ah"], [], {}), ("n", 1, None, ["vault", "rude"], [], {"rude": ["slang"]})])], f"head string, name string, groups {group}")
+    got = assembly.align_heads(b, heads, "old")
+    aligned = {(r.ref, r.headword): r.synset for r in got["alignments"].collect()}
+    assert aligned["7:0", "bank"] == "m1" and {k[0] for k in aligned} == {"7:0"}
+    synonyms = {(r.synset, r.word) for r in got["synonyms"].collect()}
+    assert {("m1", "shore"), ("m1", "slope")} <= synonyms and ("m1", "lake") not in synonyms
+    assert ("m1", "lake", "far") in {(r.synset, r.word, r.relation) for r in got["withheld"].collect()}
+    reasons = {(r.ref, r.headword): r.reason for r in got["unaligned"].collect()}
+    assert reasons["7:0", "zzzz"] == "no_entry" and reasons["7:0", "lake"] == "below_threshold" and reasons["7:1", "ah"] == "unsupported_pos"
 
 
 def test_lemmatise(spark):
