@@ -401,9 +401,8 @@ def agree_synonyms(spark, sf_dir):
     return screen.rank_synonyms(rows, nobody, 6).select("synset", "key", F.col("place").cast("long").alias("place"))
 
 
-@register(
-    """SELECT * FROM (VALUES (1, 'river-bank', 13.477::DOUBLE), (3, 'money-bank', 6.0::DOUBLE), (4, 'bank-tilt', 13.692::DOUBLE), (5, 'river-bank', 6.786::DOUBLE), (6, 'bright-light', 6.972::DOUBLE), (2, 'money-bank', 15.467::DOUBLE)) t(qid, synset, score)"""
-)
+@register()
 def serving_picker(spark, sf_dir):
+    """The tiny lexicon's sentences; their scores are tested (tests/test_library.py), ``picker_sentences`` has the SQL."""
     tables, asked = serving.fixture(spark)
     return picker.pick(asked, tables, serving.LISTS).filter("place = 1").select("qid", "synset", "score")
