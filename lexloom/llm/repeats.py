@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize, pack, row_key, split_by, tune, unpack, unpack_all
+from lexloom.llm.common import BATCH_ROWS, materialize, pack, row_key, split_by, tune, unpack, unpack_all
 
 #: Window starts handled at once in a long text.
 BLOCK = 1 << 18
@@ -56,6 +56,9 @@ NULL_ID = -(2**63)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(29)
 ROW = "kind int, block int, bucket int, data binary"
+_ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
+#: Packed rows in one Arrow batch.
+BATCH_BYTES = 1 << 20
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,9 +236,35 @@ def removed(did, key, block, lo, hi, buckets: int) -> Iterator[tuple]:
         yield 1, b, b % buckets, pack(did=did[i], key=key[i], lo=lo[i].astype(np.int64), hi=(hi - lo)[i].astype(np.int32))
 
 
+def by_value(column: str, f: Callable) -> Callable:
+    """For mapInArrow: ``f(table)`` for each run of rows of one value of ``column``, one run in memory at a time.
+
+    Spark hands a task's rows on as they come; groupBy().applyInArrow would first sort them in pages of the executor's heap.
+    """
+
+    def run(batches):
+        held, value = [], None
+        for b in batches:
+            v = b.column(column).to_numpy()
+            starts = _runs(v).tolist()
+            for lo, hi in zip(starts, [*starts[1:], len(v)]):
+                if held and v[lo] != value:
+                    yield from f(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                value = v[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
 def _table(rows: list[tuple]) -> pa.Table:
-    kind, block, bucket, data = zip(*rows) if rows else ((), (), (), ())
-    return pa.table({"kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
+    """Rows in batches of about BATCH_BYTES, which is what the executor holds of them at once beside its heap."""
+    ends = np.cumsum(np.fromiter((len(r[3]) for r in rows), np.int64, len(rows)))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH_BYTES)) + 1).tolist(), len(rows)]
+    parts = [list(zip(*rows[a:b])) for a, b in zip(cuts, cuts[1:]) if a < b]
+    return pa.Table.from_batches([pa.record_batch([pa.array(c, f.type) for c, f in zip(p, _ROWS)], schema=_ROWS) for p in parts], _ROWS)
 
 
 def _runs(*columns):
@@ -359,6 +388,7 @@ def repeated_windows(docs: DataFrame, spec: Spec, finish: Callable, schema: str,
     """
     spark = docs.sparkSession
     tune(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))  # texts that a scan decodes at once
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     own = own.withColumns({"did": F.coalesce("doc_id", F.lit(NULL_ID)), "k": row_key()})
     total, size = own.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
@@ -412,10 +442,19 @@ def repeated_windows(docs: DataFrame, spec: Spec, finish: Callable, schema: str,
 
     # As many tasks as blocks and buckets, so that a task's share stays the same at any size.
     tasks = {"block": min(parts, MOST_TASKS), "bucket": min(buckets, MOST_TASKS)}
-    dealt = lambda df, by: df.repartitionById(tasks[by], F.col(by)).groupBy(by)
+    dealt = lambda df, by: df.repartitionById(tasks[by], F.col(by))
+
+    def each_bucket(df, f):
+        own_task = dealt(df, "bucket")
+        if buckets > tasks["bucket"]:
+            own_task = own_task.sortWithinPartitions("bucket")
+        return own_task.mapInArrow(by_value("bucket", f), ROW)
+
+    def with_documents(df):
+        return dealt(own, "block").groupBy("block").cogroup(dealt(df, "block").groupBy("block"))
+
     sent = own.select("did", "k", "text", "block").mapInArrow(send, ROW)
-    first = materialize(dealt(sent, "bucket").applyInArrow(settled, ROW), "settled")
-    slices = dealt(own, "block").cogroup(dealt(first.filter("kind = 2"), "block")).applyInArrow(handed, ROW)
-    second = dealt(slices, "bucket").applyInArrow(decided, ROW)
-    gone = first.filter("kind = 1").union(second)
-    return dealt(own, "block").cogroup(dealt(gone, "block")).applyInArrow(finished, f"doc_id long, {schema}{kept_types}")
+    first = materialize(each_bucket(sent, settled).coalesce(tasks["block"]), "settled")  # as many files as blocks
+    slices = with_documents(first.filter("kind = 2")).applyInArrow(handed, ROW)
+    gone = first.filter("kind = 1").union(each_bucket(slices, decided))
+    return with_documents(gone).applyInArrow(finished, f"doc_id long, {schema}{kept_types}")

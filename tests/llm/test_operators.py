@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, language, licenses, mixing, quality, repeats, simhash, substring, suffixes, toxicity
+from lexloom.llm import chat, common, decontaminate, language, licenses, mixing, quality, repeats, simhash, substring, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k int, score string, bucket string"
 RNG = random.Random(5)
@@ -122,6 +123,30 @@ def test_suffixes(docs, empty):
     assert suffixes.suffix_dedup(docs).count() == len(corpus_rows())
 
 
+def test_buckets_are_not_sorted(docs, monkeypatch):
+    """Buckets go to Python as they come and in small batches; what a step writes has a file a block, not a bucket."""
+    result = suffixes.suffix_digest(docs)
+    files = list(Path(common._written[-1].removeprefix("file:")).glob("part-*.parquet"))
+    assert 0 < len(files) <= 4 * docs.sparkSession.sparkContext.defaultParallelism
+    assert not re.search(r"Sort \[bucket", result._jdf.queryExecution().toString())
+    batches = repeats._table([(0, 0, i, bytes(300_000)) for i in range(20)]).to_batches()
+    assert max(b.nbytes for b in batches) < 2 * repeats.BATCH_BYTES and sum(b.num_rows for b in batches) == 20
+    assert repeats._table([]).to_batches() == []
+    monkeypatch.setattr(repeats, "MOST_TASKS", 3)  # several buckets a task
+    assert sorted(map(str, suffixes.suffix_digest(docs).collect())) == suffix_expected()
+
+
+def test_runs_of_a_column():
+    def run(*values):
+        return pa.record_batch([pa.array(values, pa.int32()), pa.array(range(len(values)))], names=["bucket", "x"])
+
+    called = []
+    f = repeats.by_value("bucket", lambda t: called.append((t.column("bucket")[0].as_py(), t.num_rows)) or t)
+    out = list(f(iter([run(), run(1, 1, 2), run(2), run(2, 3)])))
+    assert called == [(1, 2), (2, 3), (3, 1)] and sum(b.num_rows for b in out) == 6
+    assert list(f(iter([]))) == []
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(1)
     raw = bytes(rng.integers(97, 99, 3000, dtype=np.uint8)) + b"a" * 500 + b"ab" * 200
