@@ -102,7 +102,7 @@ def screens(asked: DataFrame, lexicon: dict[str, DataFrame], synonyms: DataFrame
     pair = F.concat("synset", F.lit("\u0001"), "lemma")
     ranked = rank_synonyms(both.select(pair.alias("synset"), "word", "key", "source", "score"), familiar, most, main)
     syn = ranked.groupBy(F.col("synset").alias("pair")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word", "sources"))), lambda x: F.struct(x["word"].alias("word"), x["sources"].alias("sources"))).alias("synonyms"))
-    refs = pairs.join(senses.select(F.col("synset_id").alias("synset"), "lemma", F.col("id").alias("ref")), ["synset", "lemma"])
+    refs = pairs.join(senses.select(F.col("synset_id").alias("synset"), "lemma", F.col("id").alias("ref")), ["synset", "lemma"]).hint("merge")
     against = graph.sense_antonyms(refs, senses, lexicon["sense_relations"], lexicon["synset_relations"], lexicon["synsets"]).withColumn("key", lookup_key(F.col("lemma"))).withColumnsRenamed({"lemma": "word", "synset": "a_synset"})
     against = against.join(bad.select("key"), "key", "left_anti").join(unfit.select(F.col("id").alias("a_synset")), "a_synset", "left_anti")
     against = against.groupBy("ref", "key").agg(F.min(F.struct("place", "a_synset", "word")).alias("a")).select("ref", "a.place", F.col("a.a_synset").alias("synset"), "a.word")
