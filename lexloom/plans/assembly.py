@@ -65,11 +65,8 @@ def _clean(b: Base, words: DataFrame) -> DataFrame:
 def _scored(b: Base, heads: DataFrame, words: DataFrame, usable: DataFrame | None = None) -> DataFrame:
     """Verdicts of ``heads`` (group, head, pos) by ``words`` (group, role, key)."""
     found = graph.synsets_of(heads.select(F.col("head").alias("key"), "pos"), b.lexicon["entries"], b.lexicon["senses"])
-    found = found.select(F.col("key").alias("head"), F.col("pos").alias("h_pos"), F.col("synset").alias("target"), F.col("place").alias("ord"))
-    own = heads.withColumnRenamed("head", "own_head")
-    candidates = own.join(found, (F.col("own_head") == F.col("head")) & F.col("pos").eqNullSafe(F.col("h_pos"))).select("group", "target", "ord", "head")
-    scores = cut(align.align_scores(words, candidates, b.hood, _keys(b, words.select("key").distinct()), b.stop), "align-scores")
-    return cut(align.verdicts(heads, scores, usable), "verdicts")
+    found = found.select(F.col("key").alias("head"), "pos", F.col("synset").alias("target"), F.col("place").alias("ord"))
+    return cut(align.best_meanings(heads, words, found, b.hood, _keys(b, words.select("key").distinct()), b.stop, usable), "verdicts")
 
 
 def _synonyms(b: Base, aligned: DataFrame, usable: DataFrame) -> DataFrame:

@@ -57,3 +57,32 @@ def test_relation_of_a_common_word_is_linear(spark):
     want = {(f"s{i}", w): l for i in range(n) for w, l in (("run", "member"), ("jog", "hypernym" if i == 1 else "far"), ("walk", "unknown"))}
     want |= {("t1", "jog"): "member", ("t1", "run"): "far", ("t1", "walk"): "unknown", ("u", "jog"): "far", ("u", "run"): "far", ("u", "walk"): "unknown"}
     assert got == want and most < 8 * n
+
+
+def test_best_meanings_are_those_of_all_pairs(spark):
+    """400 groups of one headword with 300 meanings, beside others: verdicts of the table of all pairs, without that table."""
+    import random
+
+    from lexloom.operators import align
+
+    draw, words = random.Random(7), ["oak", "oak tree", "elm", "tall elm", "ash-grey", "fir", "run", "of"]
+    heads, groups, meanings, hood = [], [], [], []
+    for head, pos, n, m in (("run", "v", 400, 300), ("run", None, 20, 30), ("tall elm", "n", 30, 1), ("lost", "n", 2, 0)):
+        meanings += [(head, pos, f"{head}{pos}{i}", 3 * i) for i in range(m)]
+        hood += [(f"{head}{pos}{i}", k, draw.choice([0.4, 0.5, 0.6, 0.8, 1.0])) for i in range(m) for k in draw.sample([*words, "tree", "tall"], 4)]
+        for g in range(n):
+            heads.append((f"{head}{pos}#{g}", head, pos))
+            groups += [(f"{head}{pos}#{g}", draw.choice(["group", "group", "context", "name"]), w) for w in draw.sample(words, 4)]
+    heads = spark.createDataFrame(heads, "group string, head string, pos string")
+    groups = spark.createDataFrame(groups, "group string, role string, key string")
+    meanings = spark.createDataFrame(meanings, "head string, pos string, target string, ord int")
+    hood = spark.createDataFrame(hood, "synset string, key string, w double")
+    keys = spark.createDataFrame([("run", "run"), ("elm", "elm"), ("elm", "oak"), ("fir", "fir")], "word string, key string")
+    stop = spark.createDataFrame([("of",)], "key string")
+    usable = heads.select("group", F.lit(12).alias("n"))
+    pairs = heads.join(meanings.withColumnsRenamed({"head": "h", "pos": "p"}), (F.col("head") == F.col("h")) & F.col("pos").eqNullSafe(F.col("p"))).select("group", "target", "ord", "head")
+    want = align.verdicts(heads, align.align_scores(groups, pairs, hood, keys, stop), usable).collect()
+    rows, most = most_rows(spark, align.best_meanings(heads, groups, meanings, hood, keys, stop, usable))
+    line = lambda r: (r.group, r.target, r.score, r.second, r.part, r.verdict)
+    assert {r.group: line(r) for r in rows} == {r.group: line(r) for r in want} and len(rows) == len(want)
+    assert len({r.verdict for r in rows}) == 5 and most < 10_000
