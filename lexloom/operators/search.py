@@ -11,10 +11,10 @@ from lexloom.functions.text import lookup_key, sound_key
 def completions(queries: DataFrame, vocabulary: DataFrame, keep: int = 8) -> DataFrame:
     """(query, key, place): keys that begin with the query, shortest first; an empty query has none.
 
-    Joined on the first letters of the query: one for queries of one letter, else two.
+    Joined on the first letters of the query, three at most.
     """
-    q = queries.select("query").distinct().filter("query != ''").withColumn("block", F.left("query", F.lit(2)))
-    heads = F.array_distinct(F.array(F.left("key", F.lit(1)), F.left("key", F.lit(2))))
+    q = queries.select("query").distinct().filter("query != ''").withColumn("block", F.left("query", F.lit(3)))
+    heads = F.array_distinct(F.array(*[F.left("key", F.lit(n)) for n in (1, 2, 3)]))
     v = vocabulary.select("key").distinct().select("key", F.explode(heads).alias("block"))
     found = q.join(v, "block").filter(F.col("key").startswith(F.col("query")))
     by = Window.partitionBy("query").orderBy(F.length("key"), "key")
@@ -29,6 +29,10 @@ def _deletions(word, most):
     return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, first).otherwise(F.array().cast("array<string>")), F.when(most >= 2, second).otherwise(F.array().cast("array<string>"))))
 
 
+#: Letters of a query that may differ in two places at most, and tasks among which keys of one first letter and length are dealt.
+FEW_LETTERS, SHARES = 8, 32
+
+
 def suggestions(queries: DataFrame, vocabulary: DataFrame, keep: int = 5) -> DataFrame:
     """(query, key, place): keys of the same sound, then keys with the same first letter, near length and few edits.
 
@@ -43,11 +47,18 @@ def suggestions(queries: DataFrame, vocabulary: DataFrame, keep: int = 5) -> Dat
     alike = alike.select("query", "key", F.lit(0).alias("kind"), distance.alias("d"), F.length("key").alias("n"))
     most = F.greatest(F.lit(1), F.floor(F.length("query") / 3))
     few, many = q.filter(most <= 2), q.filter(most > 2)
-    by_cut = few.select("query", F.explode(_deletions(F.col("query"), most)).alias("cut")).join(v.select("key", F.explode(_deletions(F.col("key"), F.lit(2))).alias("cut")), "cut").select("query", "key").distinct()
+    head = lambda c: F.left(c, F.lit(1)).alias("head")
+    # The longest of these queries has eight letters: longer keys than ten are none of theirs, and have many deletions.
+    short = v.filter(F.length("key") <= FEW_LETTERS + 2)
+    by_cut = few.select("query", head("query"), F.explode(_deletions(F.col("query"), most)).alias("cut")).join(short.select("key", head("key"), F.explode(_deletions(F.col("key"), F.lit(2))).alias("cut")), ["head", "cut"])
+    by_cut = by_cut.select("query", "key").filter(F.abs(F.length("query") - F.length("key")) <= 2).distinct()
     lengths = F.explode(F.sequence(F.length("query") - 2, F.length("query") + 2)).alias("n")
-    by_length = many.select("query", F.left("query", F.lit(1)).alias("head"), lengths).join(v.select("key", F.left("key", F.lit(1)).alias("head"), F.length("key").alias("n")), ["head", "n"]).select("query", "key")
-    near = by_cut.union(by_length).filter((F.left("query", F.lit(1)) == F.left("key", F.lit(1))) & (F.abs(F.length("query") - F.length("key")) <= 2))
-    near = near.select("query", "key", F.lit(1).alias("kind"), F.levenshtein("query", "key").alias("d"), F.lit(0).alias("n"), most.alias("most")).filter("d <= most").drop("most")
+    # There are few first letters and lengths: the keys of one are dealt to SHARES tasks, its queries go to all of them.
+    every = many.select("query", head("query"), lengths).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    dealt = v.filter(F.length("key") > FEW_LETTERS - 2).select("key", head("key"), F.length("key").alias("n"), F.pmod(F.xxhash64("key"), F.lit(SHARES)).cast("int").alias("share"))
+    by_length = every.join(dealt, ["head", "n", "share"]).select("query", "key")
+    near = by_cut.union(by_length).withColumns({"most": most, "d": F.levenshtein("query", "key")})
+    near = near.filter("d <= most").select("query", "key", F.lit(1).alias("kind"), "d", F.lit(0).alias("n"))
     ways = alike.union(near).filter("key != query").groupBy("query", "key").agg(F.min(F.struct("kind", "d", "n")).alias("rank"))
     by = Window.partitionBy("query").orderBy("rank.kind", "rank.d", "rank.n", "key")
     return ways.select("query", "key", F.row_number().over(by).alias("place")).filter(F.col("place") <= keep)

@@ -86,3 +86,19 @@ def test_best_meanings_are_those_of_all_pairs(spark):
     line = lambda r: (r.group, r.target, r.score, r.second, r.part, r.verdict)
     assert {r.group: line(r) for r in rows} == {r.group: line(r) for r in want} and len(rows) == len(want)
     assert len({r.verdict for r in rows}) == 5 and most < 10_000
+
+
+def test_counting_per_document_moves_texts_once(spark):
+    """One exchange deals the texts out by id; the words that are cut from them are not sent again."""
+    for name, exchanges in (("stop_filtered_tokens", 1), ("signature_top60", 1)):
+        text = plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert len(re.findall(r"Exchange hashpartitioning", text)) == exchanges
+
+
+def test_long_words_are_not_taken_apart(spark):
+    """Words of 60 letters are near no query of eight: no deletions are made of them."""
+    from lexloom.operators import search
+
+    long = spark.range(100).select(F.concat(F.lit("b"), F.repeat(F.lit("olt"), 20), F.col("id").cast("string")).alias("key"))
+    found, most = most_rows(spark, search.suggestions(spark.createDataFrame([("boltz",)], "query string"), long.union(spark.createDataFrame([("bolta",)], "key string"))))
+    assert [(r.key, r.place) for r in found] == [("bolta", 1)] and most < 2_000
